@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, language_id
 from .store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +22,13 @@ FROM documents
 """
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def queries() -> dict[str, Query]:
-    return {"op6_exact_dedup": op6_exact_dedup}
+    return {f.__name__: f for f in (op6_exact_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
