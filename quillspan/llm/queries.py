@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id
+from . import exact_dedup, language_id, quality
 from .store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,8 +27,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_exact_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op6_exact_dedup, op10_language_id, op4_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
