@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, quality
+from . import exact_dedup, language_id, quality, sentencepiece_bpe
 from .store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,8 +31,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode_decode(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_exact_dedup, op10_language_id, op4_quality_classifier)}
+    return {f.__name__: f for f in (op6_exact_dedup, op10_language_id, op4_quality_classifier, op7_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
