@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, quality, sentencepiece_bpe
+from . import exact_dedup, language_id, quality, sentencepiece_bpe, token_store
 from .store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,8 +35,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(documents(spark, sf_dir))
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_exact_dedup, op10_language_id, op4_quality_classifier, op7_sentencepiece)}
+    return {f.__name__: f for f in (op6_exact_dedup, op10_language_id, op4_quality_classifier, op7_sentencepiece, op9_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
