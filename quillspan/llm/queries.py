@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, quality, sentencepiece_bpe, token_store
+from . import exact_dedup, language_id, ngram_join, quality, sentencepiece_bpe, token_store
 from .store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,9 +39,32 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(documents(spark, sf_dir))
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(documents(spark, sf_dir))
+
+
+OP1_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2])
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS gram
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT gram FROM g GROUP BY gram HAVING count(*) > 1),
+p AS (
+  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap
+  FROM g a JOIN shared USING (gram) JOIN g b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY 1, 2
+)
+SELECT doc_a, doc_b, overlap, overlap / (x.n + y.n - overlap) AS jaccard
+FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
+WHERE overlap / (x.n + y.n - overlap) >= 0.5
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_exact_dedup, op10_language_id, op4_quality_classifier, op7_sentencepiece, op9_token_store)}
+    return {f.__name__: f for f in (op6_exact_dedup, op10_language_id, op4_quality_classifier, op1_ngram_jaccard, op7_sentencepiece, op9_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op6_exact_dedup": OP6_SQL}

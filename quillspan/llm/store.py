@@ -64,7 +64,7 @@ def _drop_all() -> None:
 def input_bytes(df: DataFrame) -> int:
     """Size of df by the optimizer's statistics (file sizes for scans), without a job."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def partitions_for(df: DataFrame, bytes_each: int, least: int = 1, growth: float = 1.0) -> int:
