@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from . import store
 from . import textarr as ta
+from .sums import vector_sum
 
 STATISTICS = ("log_chars", "log_words", "word_length", "upper", "digits", "spaces", "punctuation", "rare_symbols", "lines", "repeated_words", "distinct_words", "short_words", "word_length_spread", "top_char")
 FEATURES = 256
 RIDGE = 1.0
 BINS = 10_000
-PARTS = 32
 
 
 @dataclass
@@ -103,27 +103,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(STATISTICS))
 
 
-def _sums(rows: DataFrame, width: int, per_batch) -> np.ndarray | None:  # noqa: ANN001
-    """The sum over all batches of per_batch(batch), a vector of width numbers: by partition, then in PARTS groups, then here."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        total = np.zeros(width)
-        for batch in batches:
-            if batch.num_rows:
-                total += per_batch(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % PARTS], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x) for x in table.column("total").to_pylist())
-        return pa.table({"part": table.column("part")[:1].cast(pa.int32()), "total": pa.array([total.tobytes()], pa.binary())})
-
-    kind = "part int, total binary"
-    got = rows.mapInArrow(local, kind).groupBy("part").applyInArrow(merge, kind).orderBy("part").collect()
-    return sum(np.frombuffer(r.total) for r in got) if got else None
-
-
 def fourier(x: np.ndarray, mean: np.ndarray, spread: np.ndarray, directions: np.ndarray, phases: np.ndarray) -> np.ndarray:
     z = np.clip((x - mean) / spread, -8, 8) @ directions + phases
     return np.concatenate((np.sqrt(2.0 / len(phases)) * np.cos(z), np.ones((len(x), 1))), 1)
@@ -149,7 +128,7 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     counts as often. Labels of ids without a document are ignored.
     """
     d = len(STATISTICS)
-    moments = _sums(stats.select("stats"), 1 + 2 * d, lambda b: (lambda x: np.concatenate(([len(x)], x.sum(0), (x**2).sum(0))))(_matrix(b.column(0))))
+    moments = vector_sum(stats.select("stats"), 1 + 2 * d, lambda b: (lambda x: np.concatenate(([len(x)], x.sum(0), (x**2).sum(0))))(_matrix(b.column(0))))
     if moments is None or not moments[0]:
         return None
     mean = moments[1 : 1 + d] / moments[0]
@@ -165,7 +144,7 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
         z, y = fourier(_matrix(batch.column(0)), mean, spread, directions, phases), batch.column(1).to_numpy()
         return np.concatenate(((z.T @ z).ravel(), z.T @ y, [len(y)]))
 
-    total = _sums(fit, k * k + k + 1, equations)
+    total = vector_sum(fit, k * k + k + 1, equations)
     if total is None or not total[-1]:
         return None
     weights = np.linalg.solve(total[: k * k].reshape(k, k) + RIDGE * np.eye(k), total[k * k : -1])
@@ -175,7 +154,7 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
         at = np.clip(((score + 1) * BINS / 3).astype(np.int64), 0, BINS - 1)
         return np.concatenate((np.bincount(at, minlength=BINS), np.bincount(at, batch.column(1).to_numpy(), BINS)))
 
-    bins = _sums(fit, 2 * BINS, binned)
+    bins = vector_sum(fit, 2 * BINS, binned)
     used = np.flatnonzero(bins[:BINS])
     levels = isotonic(bins[BINS:][used] / bins[:BINS][used], bins[:BINS][used])
     first = ta.bounds(levels)[:-1]

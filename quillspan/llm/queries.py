@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, ngram_join, quality, sentencepiece_bpe, token_store
+from . import decontaminate, exact_dedup, language_id, ngram_join, quality, sentencepiece_bpe, token_store
 from .store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(documents(spark, sf_dir))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 OP1_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents
@@ -63,7 +67,7 @@ WHERE overlap / (x.n + y.n - overlap) >= 0.5
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_exact_dedup, op10_language_id, op4_quality_classifier, op1_ngram_jaccard, op7_sentencepiece, op9_token_store)}
+    return {f.__name__: f for f in (op6_exact_dedup, op10_language_id, op4_quality_classifier, op1_ngram_jaccard, op5_decontamination, op7_sentencepiece, op9_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
