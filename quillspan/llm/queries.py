@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, ngram_join, quality, sentencepiece_bpe, token_store
+from . import arc_to_warc, decontaminate, exact_dedup, language_id, ngram_join, quality, sentencepiece_bpe, token_store
 from .store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_to_warc.convert_archives(arc_to_warc.page_archives(documents(spark, sf_dir, "pages")))
+
+
 OP1_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents
@@ -67,8 +71,8 @@ WHERE overlap / (x.n + y.n - overlap) >= 0.5
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_exact_dedup, op10_language_id, op4_quality_classifier, op1_ngram_jaccard, op5_decontamination, op7_sentencepiece, op9_token_store)}
+    return {f.__name__: f for f in (op6_exact_dedup, op10_language_id, op4_quality_classifier, op1_ngram_jaccard, op3_arc_to_warc, op5_decontamination, op7_sentencepiece, op9_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op3_arc_to_warc": arc_to_warc.SQL, "op6_exact_dedup": OP6_SQL}
