@@ -228,33 +228,59 @@ def _prefixes(threshold: float):  # noqa: ANN202
     return apply
 
 
-def _candidates(threshold: float, step: int = 3_000_000):  # noqa: ANN202
-    """Pairs of sets that share a posted list and could still reach their overlap after it."""
+def _listed_pairs(t: pa.Table, tags: np.ndarray, who: np.ndarray, threshold: float, step: int = 3_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (indexes into tags) that share a posted list and could still reach their overlap after it, step and more at a time."""
+    gram, n, behind = (t.column(c).to_numpy() for c in ("gram", "n", "behind"))
+    order = np.lexsort((n, gram))
+    gram, n, behind, who = gram[order], n[order].astype(np.int64), behind[order].astype(np.int64), who[order]
+    cut = ta.bounds(gram)
+    partners = np.repeat(cut[1:], np.diff(cut)) - np.arange(len(gram)) - 1
+    upto = np.cumsum(partners)
+    a = 0
+    while a < len(gram):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + step, side="right")))
+        x = np.repeat(np.arange(a, b), partners[a:b])
+        y = ta.ragged(np.arange(a, b) + 1, partners[a:b])
+        ok = 1 + np.minimum(behind[x], behind[y]) >= required_of(n[x], n[y], threshold)
+        yield who[x[ok]], who[y[ok]]
+        a = b
+
+
+def _least_partners(threshold: float):  # noqa: ANN202
+    """Rows (tag, least): a set with candidates, and the least tag among it and them."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [b for b in batches if b.num_rows]
         if not tables:
             return
         t = pa.Table.from_batches(tables)
-        gram, n, behind = (t.column(c).to_numpy() for c in ("gram", "n", "behind"))
         tags, who = np.unique(t.column("tag").to_numpy(), return_inverse=True)
-        del t
-        order = np.lexsort((n, gram))
-        gram, n, behind, who = gram[order], n[order].astype(np.int64), behind[order].astype(np.int64), who[order]
-        cut = ta.bounds(gram)
-        end = np.repeat(cut[1:], np.diff(cut))
-        partners = end - np.arange(len(gram)) - 1
-        upto = np.cumsum(partners)
-        found, a = np.zeros(0, np.int64), 0
-        while a < len(gram):
-            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + step, side="right")))
-            x = np.repeat(np.arange(a, b), partners[a:b])
-            y = ta.ragged(np.arange(a, b) + 1, partners[a:b])
-            ok = 1 + np.minimum(behind[x], behind[y]) >= required_of(n[x], n[y], threshold)
-            x, y = who[x[ok]], who[y[ok]]
-            found = np.union1d(found, np.minimum(x, y) * len(tags) + np.maximum(x, y))
-            a = b
-        yield pa.RecordBatch.from_arrays([pa.array(tags[found // len(tags)]), pa.array(tags[found % len(tags)])], ["a", "b"])
+        least, paired = np.arange(len(tags)), np.zeros(len(tags), bool)
+        for x, y in _listed_pairs(t, tags, who, threshold):
+            np.minimum.at(least, x, y)
+            np.minimum.at(least, y, x)
+            paired[x] = paired[y] = True
+        yield pa.RecordBatch.from_arrays([pa.array(tags[paired]), pa.array(tags[least[paired]])], ["tag", "least"])
+
+    return apply
+
+
+def _meetings(threshold: float):  # noqa: ANN202
+    """Rows (lo, hi, tag, own): a set must be in the block of the labels lo and hi, one of them its own and the other a candidate's."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        t = pa.Table.from_batches(tables)
+        tags, at, who = np.unique(t.column("tag").to_numpy(), return_index=True, return_inverse=True)
+        labels, label = np.unique(t.column("own").to_numpy()[at], return_inverse=True)
+        met = np.zeros(0, np.int64)
+        for x, y in _listed_pairs(t, tags, who, threshold):
+            met = np.union1d(met, np.concatenate((x * len(labels) + label[y], y * len(labels) + label[x])))
+        one, other = met // max(1, len(labels)), labels[met % max(1, len(labels))]
+        own = labels[label[one]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)), pa.array(tags[one]), pa.array(own)], ["lo", "hi", "tag", "own"])
 
     return apply
 
@@ -351,18 +377,16 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col:
     owners = found.where("grams is null").select("tag", "n", "doc").distinct()
     sets = found.where("grams is not null").select("tag", "n", "grams")
     posted = sets.mapInArrow(_prefixes(threshold), "gram long, tag long, n int, behind int")
-    pairs = posted.repartition(shards, "gram").mapInArrow(_candidates(threshold), "a long, b long")
-    pairs = store.written(pairs.distinct(), "candidates")
-    near = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    label = near.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("label"))
-    parts = label.groupBy("label").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("k"))
-    # A label with very many sets is cut into parts; their pairs of parts are the blocks.
-    label = label.join(parts, "label").select("x", F.concat_ws("/", F.col("label"), F.pmod(F.hash("x"), "k")).alias("label"))
+    # No table of candidate pairs is made: what moves are sets' labels, the least tag among their candidates.
+    least = posted.repartition(shards, "gram").mapInArrow(_least_partners(threshold), "tag long, least long")
+    label = least.groupBy("tag").agg(F.min("least").alias("label"))
     label = store.written(label, "labels")
-    of = lambda c: label.select(F.col("x").alias(c), F.col("label").alias("l" + c))
-    met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "la", "lb", F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi"))
-    member = met.select("lo", "hi", F.explode(F.array(F.struct(F.col("a").alias("tag"), F.col("la").alias("own")), F.struct(F.col("b").alias("tag"), F.col("lb").alias("own")))).alias("m")).select("lo", "hi", "m.*").distinct()
-    blocks = member.join(sets, "tag").select("lo", "hi", "tag", "own", "n", "grams").repartition(shards, "lo", "hi").sortWithinPartitions("lo", "hi", "tag")
+    parts = label.groupBy("label").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("k"))
+    # A label with very many sets is cut into parts; pairs of labels or parts are the blocks.
+    part = F.when(F.col("k") == 1, F.col("label")).otherwise(F.xxhash64("label", F.pmod(F.hash("tag"), F.col("k"))))
+    label = label.join(parts, "label").select("tag", part.alias("own"))
+    met = posted.join(label, "tag").repartition(shards, "gram").mapInArrow(_meetings(threshold), "lo long, hi long, tag long, own long").distinct()
+    blocks = met.join(sets, "tag").select("lo", "hi", "tag", "own", "n", "grams").repartition(shards, "lo", "hi").sortWithinPartitions("lo", "hi", "tag")
     pairs = blocks.mapInArrow(_verify(threshold), "a long, b long, na int, nb int, overlap long")
     return owners, store.written(pairs, "similar")
 
@@ -381,4 +405,6 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_c
     different = pairs.join(owner("a", "da"), "a").join(owner("b", "db"), "b").select("da", "db", "overlap", (F.col("na") + F.col("nb") - F.col("overlap")).alias("union"))
     equal = owners.select("tag", "n", F.col("doc").alias("da")).join(owner("tag", "db"), "tag").where("da < db").select("da", "db", F.col("n").cast("long").alias("overlap"), F.col("n").cast("long").alias("union"))
     every = different.unionByName(equal).where("da <> db").select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"), "overlap", (F.col("overlap") / F.col("union")).alias("jaccard"))
+    if owners.groupBy("doc").count().where("count > 1").isEmpty():
+        return every.select("doc_a", "doc_b", "overlap", "jaccard")
     return every.groupBy("doc_a", "doc_b").agg(F.max(F.struct("jaccard", "overlap")).alias("m")).select("doc_a", "doc_b", "m.overlap", "m.jaccard")
