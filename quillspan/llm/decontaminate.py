@@ -330,3 +330,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             space = latent_space(lambda q, i=idf, x=lists, k=dtype: gram_times(x, i, q, k), idf, rank)
         out = out.unionByName(lists.mapInArrow(_search(known, idf, space, min_cosine, dtype), out.schema))
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine")).alias("m")).select("doc_id", "item_id", "m.cosine", "m.lcs", "m.answer")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs but for those that leaks() tells of; rows with a null id stay."""
+    return store.without(docs, leaks(docs, benchmark, id_col, text_col).select("doc_id"), id_col)

@@ -408,3 +408,33 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_c
     if owners.groupBy("doc").count().where("count > 1").isEmpty():
         return every.select("doc_a", "doc_b", "overlap", "jaccard")
     return every.groupBy("doc_a", "doc_b").agg(F.max(F.struct("jaccard", "overlap")).alias("m")).select("doc_a", "doc_b", "m.overlap", "m.jaccard")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Rows (tag, label) of the nodes of edges (a, b): the least tag of its connected component.
+
+    Least labels of neighbours, then of labels, until nothing changes; each round is written.
+    """
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    labels = store.written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("tag"), F.least("u", "m").alias("label")), "components")
+    while True:
+        of = labels.select(F.col("tag").alias("v"), F.col("label").alias("near"))
+        best = both.join(of, "v").groupBy("u").agg(F.min("near").alias("near"))
+        step = labels.join(best, labels.tag == best.u).select("tag", F.least("label", "near").alias("label"), F.col("label").alias("was"))
+        far = labels.select(F.col("tag").alias("label"), F.col("label").alias("further"))
+        step = store.written(step.join(far, "label").select("tag", F.least("label", "further").alias("label"), "was"), "components")
+        labels = step.select("tag", "label")
+        if step.where("label <> was").isEmpty():
+            return labels
+
+
+def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document, that of the least id, of each group that chains of similar pairs connect.
+
+    Rows in no pair (see jaccard_join) all stay. Rows that repeat an id are one
+    document and stay or go together.
+    """
+    owners, pairs = set_pairs(docs, n, threshold, id_col, text_col)
+    group = owners.join(components(pairs), "tag", "left").select("doc", F.coalesce("label", "tag").alias("comp")).distinct()
+    least = group.groupBy("comp").agg(F.min("doc").alias("keep"), F.count("*").alias("size")).where("size > 1").select("comp", "keep")
+    return store.without(docs, group.join(least, "comp").where("doc <> keep").select("doc"), id_col)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MADE: list[tuple[SparkSession, str]] = []
 
@@ -74,3 +75,14 @@ def partitions_for(df: DataFrame, bytes_each: int, least: int = 1, growth: float
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df with a broadcast hint if it has that many (narrow) rows at most; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs but for the rows whose id is in ids' first column; null ids stay."""
+    gone = small(written(ids.select(F.col(ids.columns[0]).cast("long").alias("__gone")).distinct(), "gone"))
+    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
