@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arc_to_warc, decontaminate, exact_dedup, language_id, ngram_join, pii, quality, sentencepiece_bpe, token_store
+from . import arc_to_warc, decontaminate, exact_dedup, language_id, ngram_join, pii, quality, sentencepiece_bpe, suffix_lm, token_store
 from .store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs))
 
 
+def op2_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score(documents(spark, sf_dir, "benchmark"), documents(spark, sf_dir))
+
+
 OP1_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents
@@ -76,7 +80,7 @@ WHERE overlap / (x.n + y.n - overlap) >= 0.5
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_exact_dedup, op10_language_id, op4_quality_classifier, op1_ngram_jaccard, op3_arc_to_warc, op5_decontamination, op7_sentencepiece, op8_pii, op9_token_store)}
+    return {f.__name__: f for f in (op6_exact_dedup, op10_language_id, op4_quality_classifier, op1_ngram_jaccard, op2_suffix_lm, op3_arc_to_warc, op5_decontamination, op7_sentencepiece, op8_pii, op9_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
