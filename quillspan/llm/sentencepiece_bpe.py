@@ -26,9 +26,9 @@ from . import textarr as ta
 
 SPACE = 0x2581
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-RUN_CHARS = 1_500_000
+RUN_CHARS = 400_000
 LONG = 64
-_SLOTS = 1 << 22
+_SLOTS = 1 << 20
 
 
 class Vocabulary:
@@ -74,7 +74,7 @@ class Vocabulary:
         pieces = longer + [ch for ch in letters if ch in self.piece_id]
         prefixes = sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)}, key=len)
         state = {"": 0} | {p: k + 1 for k, p in enumerate(prefixes)}
-        go = np.zeros((len(state), len(letters)), np.int32)
+        go = np.zeros((len(state), len(letters)), np.uint16 if len(state) < 1 << 16 else np.int32)
         fail = np.zeros(len(state), np.int32)
         self.longest = np.full(len(state), -1, np.int32)  # id of the longest piece that ends here
         self.shorter = np.full(self.size, -1, np.int32)  # the next shorter piece that ends where this one ends

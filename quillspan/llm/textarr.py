@@ -7,6 +7,7 @@ of its documents. No text is cut: a very long one is a run of its own.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator
 
@@ -101,6 +102,16 @@ class Words:
         self.doc = np.repeat(np.arange(run.n), self.counts)
 
 
+def release() -> None:
+    """Give memory that is free back to the system: Python workers outlive their tasks, and an executor has few of its cores' memory."""
+    pa.default_memory_pool().release_unused()
+    if "trim" not in cache():
+        libc = ctypes.CDLL(None)
+        cache()["trim"] = getattr(libc, "malloc_trim", None)
+    if cache()["trim"]:
+        cache()["trim"](0)
+
+
 def runs(texts: pa.Array, limit: int = RUN_CHARS) -> Iterator[Run]:
     """Runs of whole documents with up to limit characters, or one longer document; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -114,6 +125,7 @@ def runs(texts: pa.Array, limit: int = RUN_CHARS) -> Iterator[Run]:
         total += int(size) + 1
     if len(sizes) > first:
         yield Run([t or "" for t in texts.slice(first).to_pylist()], first)
+    release()
 
 
 def gram_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
