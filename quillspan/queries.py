@@ -26,12 +26,12 @@ TOK = rf"""tok AS (
 )"""
 VOC = TOK + ", voc AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM tok GROUP BY term), total AS (SELECT count(*) AS docs FROM documents)"
 OFFSETS = rf"""parts AS (
-  SELECT doc_id, text, regexp_extract_all(text, '{RX}') AS tk, string_split_regex(text, '{RX}') AS gp FROM documents
+  SELECT doc_id, regexp_extract_all(text, '{RX}') AS tk, string_split_regex(text, '{RX}') AS gp FROM documents
 ), placed AS (
-  SELECT doc_id, unnest(tk) AS raw, unnest(range(len(tk))) AS pos, unnest(list_transform(range(1, len(tk) + 1), lambda i: len(gp[i]))) AS gap FROM parts
+  SELECT doc_id, unnest(tk) AS raw, unnest(range(len(tk))) AS pos, unnest(gp[1 : len(tk)]) AS gap, unnest(gp[2 : len(tk) + 1]) AS after FROM parts
 ), off AS (
-  SELECT doc_id, pos, raw, lower(raw) AS term, (sum(gap + len(raw)) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS ce FROM placed
-), docs AS (SELECT doc_id, text, len(tk) AS n, list_transform(tk, lambda t: lower(t)) AS lw FROM parts)"""
+  SELECT doc_id, pos, raw, gap, after, lower(raw) AS term, (sum(len(gap) + len(raw)) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS ce FROM placed
+)"""
 
 
 def register(name: str, query: Query, sql: str | None = None) -> None:
@@ -150,9 +150,9 @@ spans_of(
 SELECT ab.doc_id, s, min(c.pos) + 1 AS e FROM ab JOIN tok c ON c.doc_id = ab.doc_id AND c.term = 'in' AND c.pos BETWEEN m AND m + 5 GROUP BY ab.doc_id, s, m""",
 )
 spans_of(
-    "near_multiterm", "[con* (the a)]~>2",
-    "SELECT a.doc_id, a.pos AS s, min(b.pos) + 1 AS e FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND starts_with(a.term, 'con') AND b.term IN ('the', 'a') AND b.pos BETWEEN a.pos + 1 AND a.pos + 3 GROUP BY ALL",
-)
+    "near_multiterm", "[(the a) (pr* con*)]~>4",
+    "SELECT a.doc_id, a.pos AS s, min(b.pos) + 1 AS e FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.term IN ('the', 'a') AND (starts_with(b.term, 'pr') OR starts_with(b.term, 'con')) AND b.pos BETWEEN a.pos + 1 AND a.pos + 5 GROUP BY ALL",
+)
 NOT = "SELECT a.doc_id, a.pos AS s, a.pos + 1 AS e FROM tok a WHERE a.term = 'the' AND NOT EXISTS (SELECT 1 FROM tok b WHERE b.doc_id = a.doc_id AND b.term = 'of' AND b.pos < a.pos + 1 + {post} AND b.pos + 1 > a.pos - {pre})"
 spans_of("not_near", "[the of]!~2", NOT.format(pre=2, post=2))
 spans_of("not_near_asym", "[the of]!~0,4", NOT.format(pre=0, post=4))
@@ -216,15 +216,17 @@ register("typed_eq_int", typed_eq_int, "SELECT DISTINCT doc_id FROM labels WHERE
 
 
 def kwic_sql(condition: str, before: int, after: int, key: str, more: str = "") -> str:
-    return f"""WITH {OFFSETS}, hit AS (SELECT o.*, text, n, lw FROM off o JOIN docs USING (doc_id) WHERE {condition}), win AS (
-  SELECT h.doc_id, h.pos, CASE WHEN h.pos = 0 THEN '' ELSE substring(text, f.ce - len(f.raw) + 1, greatest(f.ce - len(f.raw), h.ce - len(h.raw) - 1) - (f.ce - len(f.raw))) END AS pre, h.raw AS target,
-    CASE WHEN h.pos = n - 1 THEN '' ELSE substring(text, h.ce + 1, l.ce - h.ce) END AS post, {key} AS sort_key, h.ce - len(h.raw) AS char_start
-  FROM hit h JOIN off f ON f.doc_id = h.doc_id AND f.pos = greatest(0, h.pos - {before}) JOIN off l ON l.doc_id = h.doc_id AND l.pos = least(n - 1, h.pos + {after})
+    return f"""WITH {OFFSETS}, win AS (
+  SELECT h.doc_id, h.pos, coalesce(left(p, len(p) - 1), '') AS pre, h.raw AS target, coalesce(post, '') AS post, trim(coalesce({key}, '')) AS sort_key, h.ce - len(h.raw) AS char_start
+  FROM (SELECT * FROM off WHERE {condition}) h JOIN (
+    SELECT h.doc_id, h.pos, string_agg(o.raw || o.after, '' ORDER BY o.pos) FILTER (o.pos < h.pos) AS p, string_agg(o.gap || o.raw, '' ORDER BY o.pos) FILTER (o.pos > h.pos) AS post,
+      string_agg(o.term, ' ' ORDER BY o.pos DESC) FILTER (o.pos < h.pos) AS back, string_agg(o.term, ' ' ORDER BY o.pos) FILTER (o.pos > h.pos) AS forth
+    FROM (SELECT doc_id, pos FROM off WHERE {condition}) h JOIN off o ON o.doc_id = h.doc_id AND o.pos BETWEEN h.pos - {before} AND h.pos + {after} GROUP BY h.doc_id, h.pos
+  ) w USING (doc_id, pos)
 ) {more or 'SELECT * FROM win'}"""
 
 
-BACK = "array_to_string(list_reverse(h.lw[greatest(0, h.pos - {0}) + 1 : h.pos]), ' ')"
-FORTH = "array_to_string(h.lw[h.pos + 2 : h.pos + 1 + {0}], ' ')"
+BACK, FORTH = "back", "forth"
 
 
 def shown(rows: DataFrame) -> DataFrame:
@@ -239,10 +241,10 @@ def windows_of(name: str, text: str, order: str, key: str, before: int = 5, afte
     register(name, query, kwic_sql(condition, before, after, key))
 
 
-windows_of("kwic_pre", "the", "PRE", BACK.format(5))
-windows_of("kwic_post", "the", "POST", FORTH.format(5))
-windows_of("kwic_target_pre", "con*", "TARGET_PRE", f"trim(h.term || ' ' || {BACK.format(3)})", 3, 4, "starts_with(term, 'con')")
-windows_of("kwic_target_post", "con*", "TARGET_POST", f"trim(h.term || ' ' || {FORTH.format(4)})", 3, 4, "starts_with(term, 'con')")
+windows_of("kwic_pre", "the", "PRE", BACK)
+windows_of("kwic_post", "the", "POST", FORTH)
+windows_of("kwic_target_pre", "con*", "TARGET_PRE", "h.term || ' ' || coalesce(back, '')", 3, 4, "starts_with(term, 'con')")
+windows_of("kwic_target_post", "con*", "TARGET_POST", "h.term || ' ' || coalesce(forth, '')", 3, 4, "starts_with(term, 'con')")
 windows_of("kwic_doc", "(fox of)", "DOC", "h.doc_id::VARCHAR", condition="term IN ('fox', 'of')")
 
 
@@ -251,7 +253,7 @@ def kwic_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(kwic.windows(c, c.parse("the"), before=5, after=5, limit=100))
 
 
-register("kwic_limit", kwic_limit, kwic_sql("term = 'the'", 5, 5, BACK.format(5), "SELECT * FROM win ORDER BY doc_id, pos LIMIT 100"))
+register("kwic_limit", kwic_limit, kwic_sql("term = 'the'", 5, 5, BACK, "SELECT * FROM win ORDER BY doc_id, pos LIMIT 100"))
 
 
 def kwic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +274,7 @@ def kwic_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(kwic.windows(c, c.parse("+the -fox"), before=5, after=5, order="PRE", where=good))
 
 
-register("kwic_filtered", kwic_filtered, kwic_sql("term = 'the' AND NOT list_contains(lw, 'fox') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", 5, 5, BACK.format(5)))
+register("kwic_filtered", kwic_filtered, kwic_sql("term = 'the' AND doc_id NOT IN (SELECT doc_id FROM off WHERE term = 'fox') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", 5, 5, BACK))
 
 
 def kwic_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,11 +320,12 @@ def cooccur(name: str, sql: str, text: str = "fox", **options) -> None:  # noqa:
 
 
 def gram_sql(grams: str, target: str, sides: str = "sides") -> str:
-    return f"""WITH {VOC}, lists AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{RX}'), lambda t: lower(t)) AS lw FROM documents),
-sides AS (SELECT tok.doc_id, pos, lw[greatest(0, pos - 4) + 1 : pos] AS pre, lw[pos + 2 : pos + 5] AS post FROM tok JOIN lists USING (doc_id) WHERE term = '{target}'),
+    return f"""WITH {VOC},
+sides AS (SELECT h.doc_id, h.pos, list(o.term ORDER BY o.pos) FILTER (o.pos < h.pos) AS pre, list(o.term ORDER BY o.pos) FILTER (o.pos > h.pos) AS post
+  FROM (SELECT * FROM tok WHERE term = '{target}') h JOIN tok o ON o.doc_id = h.doc_id AND o.pos BETWEEN h.pos - 4 AND h.pos + 4 GROUP BY h.doc_id, h.pos),
 dd AS (SELECT DISTINCT pre, post FROM sides), both_sides AS (SELECT pre AS a FROM {sides} UNION ALL SELECT post FROM {sides}),
 g AS ({grams}), n AS (SELECT term, count(*) AS tf FROM g GROUP BY term HAVING count(*) >= 3),
-r AS (SELECT n.term, tf, docs, sum(ln((docs + 1.0) / CASE WHEN coalesce(df, 0) <= 0 THEN 2 ELSE df END)) AS idf FROM (SELECT term, tf, unnest(string_split(term, ' ')) AS word FROM n) n LEFT JOIN voc ON voc.term = word CROSS JOIN total GROUP BY n.term, tf, docs)
+r AS (SELECT n.term, n.tf, docs, sum(ln((docs + 1.0) / CASE WHEN coalesce(df, 0) <= 0 THEN 2 ELSE df END)) AS idf FROM (SELECT term, tf, unnest(string_split(term, ' ')) AS word FROM n) n LEFT JOIN voc ON voc.term = word CROSS JOIN total GROUP BY n.term, n.tf, docs)
 SELECT term, tf, greatest(1, round((docs + 1.0) / exp(idf)))::BIGINT AS df, round(idf, 6) AS idf, round(tf * idf, 5) AS tfidf FROM r ORDER BY tf * idf DESC, term LIMIT 50"""
 
 
