@@ -77,8 +77,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked = docs.withColumn("__mark", F.xxhash64(F.col(text_col).cast("string"))).withColumn("__id", F.col(id_col).cast("long"))
 
     def among(rows: DataFrame, how: str) -> DataFrame:
-        few = store.small(rows.select("id", "mark").distinct())
-        return marked.join(few, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__mark") == F.col("mark")) & F.col(text_col).isNotNull(), how)
+        few = store.small(rows.select(F.col("id").alias("__few_id"), F.col("mark").alias("__few_mark")).distinct())
+        return marked.join(few, F.col("__id").eqNullSafe(F.col("__few_id")) & (F.col("__mark") == F.col("__few_mark")) & F.col(text_col).isNotNull(), how)
 
     repeated = groups.where("id <=> keep_id").groupBy("id", "mark").count().where("count > 1")
     lost = groups.where("not (id <=> keep_id)")
