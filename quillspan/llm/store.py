@@ -63,9 +63,13 @@ def _drop_all() -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of df by the optimizer's statistics (file sizes for scans), without a job."""
+    """Size of df by the optimizer's statistics (file sizes for scans), without a job; its strings are measured where these know nothing."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    size = int(str(stats.sizeInBytes()))
+    if size < 1 << 50:
+        return size
+    strings = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    return int(df.select(sum(strings, F.lit(8 * len(df.columns))).alias("n")).agg(F.sum("n")).first()[0] or 0)
 
 
 def partitions_for(df: DataFrame, bytes_each: int, least: int = 1, growth: float = 1.0) -> int:
