@@ -34,7 +34,7 @@ PATTERNS = [
     ("IP", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")),
     ("ID", re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])")),
     ("PHONE", re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?!\d)")),
-    ("CARD", re.compile(r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])")),
+    ("CARD", re.compile(r"(?<![\d\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5})(?![\d\-])")),
     ("SECRET", re.compile(r"(?i)(?:token|password|passwd|secret|api[_\-]?key|key)\s?[=:]\s?[\"']?([\w\-/+]{8,})")),
     ("SECRET", re.compile(r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])")),
 ]
@@ -184,7 +184,7 @@ def pattern_labels(text: str) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
     for name, pattern in PATTERNS:
         for m in pattern.finditer(text):
-            b, e = m.span(m.lastindex or 0)
+            b, e = m.span(1 if name == "SECRET" and m.lastindex else 0)
             if not any(b < y and x < e for x, y, _ in out):
                 out.append((b, e, LABELS.index(name)))
     return out
