@@ -150,8 +150,8 @@ spans_of(
 SELECT ab.doc_id, s, min(c.pos) + 1 AS e FROM ab JOIN tok c ON c.doc_id = ab.doc_id AND c.term = 'in' AND c.pos BETWEEN m AND m + 5 GROUP BY ab.doc_id, s, m""",
 )
 spans_of(
-    "near_multiterm", "[(the a) (pr* con*)]~>4",
-    "SELECT a.doc_id, a.pos AS s, min(b.pos) + 1 AS e FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.term IN ('the', 'a') AND (starts_with(b.term, 'pr') OR starts_with(b.term, 'con')) AND b.pos BETWEEN a.pos + 1 AND a.pos + 5 GROUP BY ALL",
+    "near_multiterm", "[(the of) (s* con*)]~>4",
+    "SELECT a.doc_id, a.pos AS s, min(b.pos) + 1 AS e FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.term IN ('the', 'of') AND (starts_with(b.term, 's') OR starts_with(b.term, 'con')) AND b.pos BETWEEN a.pos + 1 AND a.pos + 5 GROUP BY ALL",
 )
 NOT = "SELECT a.doc_id, a.pos AS s, a.pos + 1 AS e FROM tok a WHERE a.term = 'the' AND NOT EXISTS (SELECT 1 FROM tok b WHERE b.doc_id = a.doc_id AND b.term = 'of' AND b.pos < a.pos + 1 + {post} AND b.pos + 1 > a.pos - {pre})"
 spans_of("not_near", "[the of]!~2", NOT.format(pre=2, post=2))
@@ -279,11 +279,11 @@ register("kwic_filtered", kwic_filtered, kwic_sql("term = 'the' AND doc_id NOT I
 
 def kwic_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = documents(spark, sf_dir)
-    rows = kwic.windows(c, c.parse("house*"), before=3, after=3, metadata=["lang", "source"])
+    rows = kwic.windows(c, c.parse("con*"), before=3, after=3, metadata=["lang", "source"])
     return rows.select("doc_id", F.col("s").cast("long").alias("pos"), "target", F.col("metadata")["lang"].alias("lang"), F.col("metadata")["source"].alias("source"))
 
 
-register("kwic_metadata", kwic_metadata, f"WITH {TOK} SELECT doc_id, pos, regexp_extract_all(text, '{RX}')[pos + 1] AS target, lang, source FROM tok JOIN documents USING (doc_id) WHERE starts_with(term, 'house')")
+register("kwic_metadata", kwic_metadata, f"WITH {TOK} SELECT doc_id, pos, regexp_extract_all(text, '{RX}')[pos + 1] AS target, lang, source FROM tok JOIN documents USING (doc_id) WHERE starts_with(term, 'con')")
 
 
 def kwic_multivalued(spark: SparkSession, sf_dir: str) -> DataFrame:
