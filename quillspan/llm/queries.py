@@ -57,7 +57,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_lm.score(documents(spark, sf_dir, "benchmark"), documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return suffix_lm.score(docs, docs, id_col="doc_id", corpus_id="doc_id").withColumnRenamed("item_id", "doc_id")
 
 
 OP1_SQL = r"""

@@ -158,6 +158,31 @@ def test_suffix_scores(spark, odd, none, monkeypatch):
     assert suffix_lm.score(items.limit(0), odd).collect() == []
 
 
+def test_suffix_scores_of_the_corpus_itself(spark, odd, monkeypatch):
+    from quillspan.llm import queries
+
+    monkeypatch.setattr(suffix_lm, "SHARD_WORDS", 60)
+    rng = random.Random(21)
+    rows = [(k, " ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 40)))) for k in range(40)]
+    rows += [(100, rows[0][1]), (101, rows[1][1] + " z"), (102, "q " * 70), (103, "q " * 70), (104, rows[2][1]), (104, "new a b")]
+    monkeypatch.setattr(queries, "documents", lambda *_: table(spark, rows))
+    scored = queries.op2_suffix_lm(spark, "")
+    got = Counter(tuple(r)[:5] for r in scored.collect())
+    want = Counter()
+    for k, t in rows:
+        others = [words(x) for i, x in rows if i != k]
+
+        def count(run, others=others):
+            return sum(d[i : i + len(run)] == run for d in others for i in range(len(d) - len(run) + 1))
+
+        w = words(t)
+        for p in range(len(w)):
+            n = next((n for n in range(p, 0, -1) if count(w[p - n : p])), 0)
+            want[k, p, n, count(w[p - n : p]) if n else sum(map(len, others)), count(w[p - n : p + 1])] += 1
+    assert scored.columns[0] == "doc_id" and got == want
+    assert {r.item_id for r in suffix_lm.score(odd, odd, id_col="doc_id", corpus_id="doc_id").where("pos < 3").collect()} == {3, 4, 5, 6, 8}
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     ids = np.append(rng.integers(0, 4, 300), 0)
