@@ -4,7 +4,9 @@ Passages of documents are TF-IDF vectors over the benchmark's words; a
 randomised SVD, its products summed over partitions, gives a latent space.
 Windows of documents and benchmark items that are close in it are candidates,
 and the longest common subsequence of their words and the share of the item's
-answer (its last part) decide.
+answer (its last part) decide. So are stretches that have enough of an item's
+rarest words: none that would pass is without them, so that no short item is
+lost among the words around it.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ MIN_LCS = 0.6
 SURE_LCS = 0.8
 MIN_ANSWER = 0.6
 ANSWER_SHARE = 0.25
+PROBES = 4  # of a piece's rarest words that a stretch must have
 PIECE = 64  # longer items are compared in pieces of as many words
 SLICE_CHARS = 256_000
 
@@ -218,7 +221,83 @@ def lcs(items: Items, index: tuple[np.ndarray, np.ndarray, np.ndarray], piece: n
     return np.bitwise_count(~v & mask).astype(np.int64), np.bitwise_count(~va & mask).astype(np.int64)
 
 
-def _search(items: Items, idf: np.ndarray, space: np.ndarray, min_cosine: float, dtype: str):  # noqa: ANN202
+def passes(common: np.ndarray, said: np.ndarray, length: np.ndarray, answer: np.ndarray) -> np.ndarray:
+    share = common / length
+    return (share >= SURE_LCS) | ((share >= MIN_LCS) & (said / answer >= MIN_ANSWER))
+
+
+def reach(length: np.ndarray) -> np.ndarray:
+    """Words of a stretch in which a piece of so many words is looked for."""
+    return length + np.maximum(8, length // 2)
+
+
+class Probes:
+    """Each piece's rarest words, by term.
+
+    A stretch that passes has MIN_LCS of a piece's words at least, so that of
+    any (piece's words - those) + need it has need. need is PROBES, less for
+    pieces that have not as many to match.
+    """
+
+    def __init__(self, items: Items, df: np.ndarray):
+        self.items, self.index = items, items.index()
+        self.lengths = np.array([len(w) for w in items.words])
+        self.answers = np.array([answer_words(n) for n in self.lengths])
+        must = np.ceil(MIN_LCS * self.lengths - 1e-9).astype(np.int64)
+        self.need = np.minimum(PROBES, must)
+        self.reach = reach(self.lengths)
+        piece, term = [], []
+        for k, w in enumerate(items.words):
+            t = np.searchsorted(items.terms, w)
+            t = np.unique(t[np.argsort(df[t], kind="stable")][: self.lengths[k] - must[k] + self.need[k]])
+            piece.append(np.full(len(t), k))
+            term.append(t)
+        piece, term = np.concatenate(piece), np.concatenate(term)
+        order = np.argsort(term, kind="stable")
+        self.piece = piece[order]
+        self.count = np.bincount(term, minlength=len(items.terms))
+        self.first = np.cumsum(self.count) - self.count
+
+    def found(self, run: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, piece, share, answer) of the stretches of reach words that pass."""
+        t = run.term
+        x = np.flatnonzero(t >= 0)
+        n = self.count[t[x]]
+        k = self.piece[ta.ragged(self.first[t[x]], n)]
+        x = np.repeat(x, n)
+        order = np.argsort(k, kind="stable")
+        k, x = k[order], x[order]
+        doc = np.repeat(np.arange(run.n), run.counts)
+        # The need-th hit from each on: of the same piece and document, and within reach.
+        ahead = np.arange(len(k)) + self.need[k] - 1
+        at = np.flatnonzero(ahead < len(k))
+        then = ahead[at]
+        at = at[(k[then] == k[at]) & (x[then] - x[at] < self.reach[k[at]]) & (doc[x[then]] == doc[x[at]])]
+        k, x = k[at], x[at]
+        out = [tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.float64, np.float64))]
+        for a in range(0, len(k), 50_000):
+            out.append(self._tried(run, doc, k[a : a + 50_000], x[a : a + 50_000]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def _tried(self, run: Terms, doc: np.ndarray, k: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        # First all the words that a stretch around each hit may have, then each stretch of those that pass.
+        d = doc[x]
+        low, high = run.first[d], run.first[d] + run.counts[d]
+        begin, stop = np.maximum(low, x - self.reach[k] + 1), np.minimum(high, x + self.reach[k])
+        common, said = lcs(self.items, self.index, k, run.term, begin, stop - begin)
+        may = np.flatnonzero(passes(common, said, self.lengths[k], self.answers[k]))
+        k, begin, n, high = k[may], begin[may], (x - begin + 1)[may], high[may]
+        begin, k, high = ta.ragged(begin, n), np.repeat(k, n), np.repeat(high, n)
+        _, once = np.unique(k * (len(run.term) + 1) + begin, return_index=True)
+        begin, k, high = begin[once], k[once], high[once]
+        common, said = lcs(self.items, self.index, k, run.term, begin, np.minimum(high, begin + self.reach[k]) - begin)
+        ok = np.flatnonzero(passes(common, said, self.lengths[k], self.answers[k]))
+        k = k[ok]
+        return doc[begin[ok]], k, common[ok] / self.lengths[k], said[ok] / self.answers[k]
+
+
+def _search(items: Items, idf: np.ndarray, df: np.ndarray, space: np.ndarray, min_cosine: float, dtype: str):  # noqa: ANN202
+    probes = Probes(items, df)
     lengths = np.array([len(w) for w in items.words])
     # A window of so many blocks holds the piece wherever it begins; sizes are odd, so that few kinds are made.
     sizes = (-(-lengths // BLOCK) + 1) | 1
@@ -282,15 +361,18 @@ def _search(items: Items, idf: np.ndarray, space: np.ndarray, min_cosine: float,
         stop = np.minimum(run.first[d] + run.counts[d], run.first[d] + (final - first[d] + sizes[k] + sizes[k] // 3) * BLOCK)
         common, said = lcs(items, index, k, t, begin, stop - begin)
         share, answer = common / lengths[k], said / answers[k]
-        ok = (share >= SURE_LCS) | ((share >= MIN_LCS) & (answer >= MIN_ANSWER))
-        return d[ok], items.ids[k[ok]], cos[ok], share[ok], answer[ok]
+        ok = passes(common, said, lengths[k], answers[k])
+        near = d[ok], items.ids[k[ok]], cos[ok], share[ok], answer[ok]
+        d, k, share, answer = probes.found(run)
+        exact = d, items.ids[k], np.full(len(d), np.nan), share, answer
+        return tuple(np.concatenate(c) for c in zip(near, exact, strict=True))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in runs_of_terms(batch.column(1), dtype):
                 d, item, cos, share, answer = one(run)
                 ids = batch.column(0).slice(run.start, run.n).take(pa.array(d))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(item), pa.array(cos.astype(np.float64)), pa.array(share), pa.array(answer)], ["doc_id", "item_id", "cosine", "lcs", "answer"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(item), pa.array(cos.astype(np.float64), from_pandas=True), pa.array(share), pa.array(answer)], ["doc_id", "item_id", "cosine", "lcs", "answer"])
 
     return apply
 
@@ -300,7 +382,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     lcs and answer are shares of the item's and of its answer's words. A pair
     is told if lcs >= SURE_LCS, or lcs >= MIN_LCS and answer >= MIN_ANSWER; once,
-    with its greatest lcs, however often it occurs. Null ids and texts, texts
+    with its greatest lcs, however often it occurs; cosine is null where that was
+    found by its words alone. Null ids and texts, texts
     and items without words are in no pair; rows that repeat an id are one
     document, items that repeat one are one item. Other columns are not read.
 
@@ -328,7 +411,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         space = np.zeros((len(idf), 1))
         if (idf > 0).any():
             space = latent_space(lambda q, i=idf, x=lists, k=dtype: gram_times(x, i, q, k), idf, rank)
-        out = out.unionByName(lists.mapInArrow(_search(known, idf, space, min_cosine, dtype), out.schema))
+        out = out.unionByName(lists.mapInArrow(_search(known, idf, df, space, min_cosine, dtype), out.schema))
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "answer", "cosine")).alias("m")).select("doc_id", "item_id", "m.cosine", "m.lcs", "m.answer")
 
 

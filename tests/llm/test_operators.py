@@ -297,6 +297,52 @@ def test_leaks(spark, odd, none):
     assert decontaminate.leaks(odd, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_of_short_changed_items(spark):
+    rng = random.Random(31)
+    vocabulary = [f"w{k}" for k in range(1500)]
+    weights = [1 / (k + 5) for k in range(1500)]
+    prose = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = [(k, prose(rng.randint(15, 24))) for k in range(1200)]
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *row]
+            old, row = row[1:], [0] * (len(b) + 1)
+            for j, y in enumerate(b):
+                row[j + 1] = old[j] + 1 if x == y else max(old[j + 1], row[j])
+        return row[-1]
+
+    rows, planted = [], set()
+    for k in range(300):
+        i, item = items[k * 4]
+        changed = list(item)
+        for at in rng.sample(range(len(item)), int(len(item) * rng.choice([0.2, 0.3, 0.4]))):
+            changed[at] = rng.choice(vocabulary)
+        share, answer = common(item, changed) / len(item), item[-decontaminate.answer_words(len(item)) :]
+        if share >= decontaminate.SURE_LCS or (share >= decontaminate.MIN_LCS and common(answer, changed) / len(answer) >= decontaminate.MIN_ANSWER):
+            planted.add((k, i))
+        w = prose(rng.randint(80, 300))
+        at = rng.randrange(len(w))
+        w[at:at] = changed
+        rows.append((k, " ".join(w)))
+    benchmark = spark.createDataFrame([(i, " ".join(p)) for i, p in items], "item_id long, text string")
+    found = decontaminate.leaks(table(spark, rows), benchmark).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert len(planted) > 150 and planted <= got
+
+    def passes(item, text):
+        share, answer = common(item, text) / len(item), item[-decontaminate.answer_words(len(item)) :]
+        return share >= decontaminate.SURE_LCS or (share >= decontaminate.MIN_LCS and common(answer, text) / len(answer) >= decontaminate.MIN_ANSWER)
+
+    # What else is found by words alone passes by chance or with words beside it.
+    for r in found:
+        if r.cosine is None and (r.doc_id, r.item_id) not in planted:
+            item, w = items[r.item_id][1], rows[r.doc_id][1].split()
+            size = int(decontaminate.reach(np.array(len(item))))
+            assert any(passes(item, w[a : a + size]) for a in range(len(w)))
+
+
 def test_latent_space_and_lcs():
     rng = np.random.default_rng(4)
     a = rng.standard_normal((200, 30)) @ np.diag(0.7 ** np.arange(30))
