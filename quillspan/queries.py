@@ -54,12 +54,13 @@ def longs(df: DataFrame) -> DataFrame:
 register("tokens_positions", lambda s, d: longs(search.tokens(documents(s, d), "text")), f"WITH {TOK} SELECT doc_id, pos, term FROM tok")
 
 
-def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = kwic.windows(documents(spark, sf_dir), ir.Matches("text", ".{12,}"), before=0, after=0, order="NONE")
+def token_offsets(spark: SparkSession, sf_dir: str, pattern: str = ".{12,}") -> DataFrame:
+    w = kwic.windows(documents(spark, sf_dir), ir.Matches("text", pattern), before=0, after=0, order="NONE")
     return w.select("doc_id", F.col("s").cast("long").alias("pos"), "char_start", "char_end", "target")
 
 
 register("token_offsets", token_offsets, f"WITH {OFFSETS} SELECT doc_id, pos, ce - len(raw) AS char_start, ce AS char_end, raw AS target FROM off WHERE len(term) >= 12")
+register("token_offsets_all", lambda s, d: token_offsets(s, d, ".+"), f"WITH {OFFSETS} SELECT doc_id, pos, ce - len(raw) AS char_start, ce AS char_end, raw AS target FROM off")
 register("vocabulary", lambda s, d: stats.vocabulary(documents(s, d)), f"WITH {VOC} SELECT * FROM voc")
 register("vocab_topn_df", lambda s, d: stats.top_terms(documents(s, d), n=100), f"WITH {VOC} SELECT * FROM voc ORDER BY df DESC, term LIMIT 100")
 register("vocab_topn_tf", lambda s, d: stats.top_terms(documents(s, d), n=100, by="tf"), f"WITH {VOC} SELECT * FROM voc ORDER BY tf DESC, term LIMIT 100")
