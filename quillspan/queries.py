@@ -114,6 +114,16 @@ leaf("leaf_regex", "/[a-c].*(ed|ing)/", "regexp_full_match(term, '[a-c].*(ed|ing
 leaf("leaf_range", "{mab TO mor]", "term > 'mab' AND term <= 'mor'")
 
 
+def whole(name: str, query_of: Callable[[Corpus], ir.Query], sql: str | None = None) -> None:
+    """All terms that match; DuckDB's distances count bytes, so that fuzzy ones have no SQL."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = documents(spark, sf_dir)
+        return stats.vocabulary(c).where(search.predicate(query_of(c), F.col("term"))).select("term", "df", "tf")
+
+    register(name, query, sql)
+
+
 def ascii_only(name: str, query_of: Callable[[Corpus], ir.Query], condition: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = documents(spark, sf_dir)
@@ -128,6 +138,10 @@ ascii_only("leaf_fuzzy1_osa", lambda c: ir.Similar("text", "form", 1), "damerau_
 ascii_only("leaf_fuzzy_lev", lambda c: ir.Similar("text", "house", 2, 1, False), "starts_with(term, 'h') AND levenshtein(term, 'house') <= 2")
 ascii_only("leaf_slow_fuzzy3", lambda c: ir.Similar("text", "system", 3), "levenshtein(term, 'system') <= 3")
 ascii_only("term_counts", lambda c: ir.StartsWith("text", "pre"), "starts_with(term, 'pre')")
+whole("leaf_fuzzy1_osa_all", lambda c: ir.Similar("text", "form", 1))
+whole("leaf_fuzzy_lev_all", lambda c: ir.Similar("text", "house", 2, 1, False))
+whole("leaf_slow_fuzzy3_all", lambda c: ir.Similar("text", "system", 3))
+whole("term_counts_all", lambda c: ir.StartsWith("text", "con"), f"WITH {VOC} SELECT term, df, tf FROM voc WHERE starts_with(term, 'con')")
 
 
 def two(a: str, b: str, near: str) -> str:
