@@ -1,7 +1,8 @@
 """Personal data and secrets by a skip-chain conditional random field.
 
 Nodes are the tokens of a document that could be part of an entity: those with
-a digit or an at sign, and long ones of capitals and digits. All others are of
+a digit or an at sign, long ones of capitals and digits, and any that follow a
+key word or are glued to one. All others are of
 the label O by the model's definition, so that chains break there exactly.
 Neighbours share chain potentials; a token also shares potentials with the one
 before it of the same text, and with the one before it of a similar shape,
@@ -41,6 +42,8 @@ PATTERNS = [
 _SPACE = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 _KEY = re.compile(r"(?i)(?:token|password|passwd|pwd|secret|api[_\-]?key|access[_\-]?key|key)")
 _CALL = re.compile(r"(?i)(?:tel|telephone|telefon|phone|mobile|fax|cell|call|teléfono|téléphone)")
+_NAMED = re.compile(rf"(?i)(?:^|[_\-])({_KEY.pattern[4:]}|{_CALL.pattern[4:]})$")
+_WORD = re.compile(rf"(?i){_KEY.pattern[4:]}|{_CALL.pattern[4:]}")
 _GLUED = re.compile(r"([^\W\d_][\w\-]*)\s*[=:][\"']?(.+)", re.S)
 _OUTER = " \t\n\"'`.,;:!?*#$%&|<>[]{}"
 
@@ -77,13 +80,15 @@ def _features(core: str, glued: str, before: str, further: str, adjacent: tuple[
     parts = core.split(".")
     octets = len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) < 256 for p in parts)
     key = glued or before
-    keyed = bool(_KEY.fullmatch(key.strip(_OUTER + "=:"))) or (not before.strip(_OUTER + "=:") and bool(_KEY.fullmatch(further.strip(_OUTER + "=:"))))
+    signs = _OUTER + "=:"
+    name = _NAMED.search(key.strip(signs)) or (not before.strip(signs) and _NAMED.search(further.strip(signs)))
+    keyed = bool(name) and bool(_KEY.fullmatch(name[1]))
     at = core.find("@")
     return [
         1.0, float(at > 0), float(at > 0 and "." in core[at:]), float(octets), float(digits == len(core)), float(letters == 0), float(core[:1] == "+"), float(core[:1] == "(" and core[-1:] == ")"),
         float(bool(re.fullmatch(r"\d{3}-\d{4}", core))), float(bool(re.fullmatch(r"\d{3}-\d{2}-\d{4}", core))), float(bool(re.fullmatch(r"\(?\d{3}\)?[.\-]\d{3}[.\-]\d{4}", core))), float("-" in core),
         float(len(core) >= 16 and bool(re.fullmatch(r"[0-9a-fA-F]+", core))), float(len(core) >= 16 and bool(re.fullmatch(r"[0-9A-Z]+", core)) and letters > 0), float(core[:4] == "AKIA"), float(letters > 0 and digits > 0),
-        float(keyed), float(keyed and letters > 0), float(bool(_CALL.fullmatch(before.strip(_OUTER)))), float(adjacent[0]), float(adjacent[1]), float(bool(glued)),
+        float(keyed), float(keyed and letters > 0), float(bool(_CALL.fullmatch(before.strip(_OUTER)))), float(adjacent[0]), float(adjacent[1]), float(bool(glued)), float(keyed and (bool(glued) or before[-1:] in ("=", ":"))),
         *_bucket(digits, (1, 2, 3, 4, 5, 8, 13, 20)), *_bucket(len(core), (2, 4, 8, 16, 17, 21, 32)), *_bucket(core.count("."), (1, 2, 3, 4)),
     ]
 
@@ -91,6 +96,25 @@ def _features(core: str, glued: str, before: str, further: str, adjacent: tuple[
 FEATURES = len(_features("1", "", "", "", (False, False)))
 
 
+def _keyed(run: ta.Run, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Tokens that follow a key word, with nothing or a sign between, or are glued to one."""
+    whole = run.chars.tobytes().decode("utf-32-le", "surrogatepass")
+    at = np.array([m.start() for m in _WORD.finditer(whole)], np.int64)
+    out = []
+    for k in np.unique(np.searchsorted(start, at, side="right") - 1).tolist():
+        token = whole[start[k] : end[k]]
+        if (m := _GLUED.fullmatch(token.lstrip(_OUTER))) and _NAMED.search(m[1]):
+            out.append(k)
+        elif _NAMED.search(token.strip(_OUTER + "=:")):
+            last = np.searchsorted(run.starts, start[k], side="right") - 1
+            stop = run.starts[last] + run.sizes[last]
+            following = [n for n in (k + 1, k + 2) if n < len(start) and start[n] < stop]
+            if following and not whole[start[following[0]] : end[following[0]]].strip(_OUTER + "=:"):
+                following = following[1:]
+            out += following[:1]
+    return np.array(out, np.int64)
+
+
 def graph(run: ta.Run) -> Graph:
     """Candidates are found on whole arrays of characters; only they are looked at one by one."""
     chars = run.chars
@@ -109,6 +133,7 @@ def graph(run: ta.Run) -> Graph:
     sums = np.concatenate(([0], np.cumsum(tell)))
     cap_sums = np.concatenate(([0], np.cumsum(caps)))
     picked = np.flatnonzero((sums[end] > sums[start]) | ((end - start >= 16) & (cap_sums[end] - cap_sums[start] >= 16)))
+    picked = np.union1d(picked, _keyed(run, start, end)).astype(np.int64)
     doc_of = np.searchsorted(run.starts, start[picked], side="right") - 1
     text = lambda k: chars[start[k] : end[k]].tobytes().decode("utf-32-le", "surrogatepass")
     doc, begin, stop, x, edges = [], [], [], [], []
@@ -123,12 +148,13 @@ def graph(run: ta.Run) -> Graph:
         offset, glued = 0, ""
         core = whole
         if m := _GLUED.fullmatch(whole.lstrip(_OUTER)):
-            if _KEY.fullmatch(m[1]) or _CALL.fullmatch(m[1]):
-                glued = m[1]
+            if name := _NAMED.search(m[1]):
+                glued = name[1]
                 offset = len(whole) - len(whole.lstrip(_OUTER)) + m.start(2)
                 core = m[2]
-        left = len(core) - len(core.lstrip(_OUTER))
-        core = core.strip(_OUTER)
+        signs = _OUTER + "=" * bool(_NAMED.search(before.strip(_OUTER + "=:")))
+        left = len(core) - len(core.lstrip(signs))
+        core = core.lstrip(signs).rstrip(_OUTER)
         if not core:
             continue
         b = int(start[k]) - first_of_doc + offset + left

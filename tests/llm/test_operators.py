@@ -427,6 +427,31 @@ def test_personal_data(spark, odd, none):
     assert pii.find(odd, model).columns == ["doc_id", "begin", "end", "label", "probability"]
 
 
+def test_secrets_of_letters_alone(spark):
+    rng = random.Random(23)
+    rows, truth = [], set()
+    for k in range(400):
+        text = ""
+        for _ in range(rng.randint(1, 4)):
+            text += " ".join(rng.choice(["water", "the key idea", "a secret place", "password rules", "1999", "stone"]) for _ in range(rng.randint(2, 6))) + " "
+            kind = rng.random()
+            if kind < 0.4:
+                text += rng.choice(["password: ", "api_key=", "token = ", "secret=", "my_token=", "password :"])
+                value, label = "".join(rng.choice("qwertyuiopasdf") for _ in range(rng.randint(8, 20))), "SECRET"
+            elif kind < 0.6:
+                value, label = "-".join(str(rng.randint(1000, 9999)) for _ in range(4)), "CARD"
+            else:
+                continue
+            truth.add((k, len(text), len(text) + len(value), label))
+            text += value + " "
+        rows.append((k, text))
+    docs = table(spark, rows)
+    got = {(r.doc_id, r.begin, r.end, r.label) for r in pii.find(docs, pii.train(docs.where("doc_id < 200"))).where("doc_id >= 200").collect()}
+    truth = {t for t in truth if t[0] >= 200}
+    assert {t[3] for t in truth} == {"SECRET", "CARD"}
+    assert len(got & truth) >= 0.95 * len(truth) and len(got & truth) >= 0.95 * len(got)
+
+
 # Token store
 
 
