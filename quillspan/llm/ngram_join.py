@@ -1,18 +1,22 @@
-"""N-gram Jaccard join: all pairs of documents whose sets of word n-grams have
-a Jaccard similarity of at least a threshold, found by T-occurrence search.
+"""N-gram Jaccard join: documents whose sets of word n-grams have a Jaccard
+similarity of at least a threshold, found by T-occurrence search.
 
 1. Grams go to shards by hash, packed by document. A shard has whole inverted
    lists; those with one document set die there. What is left goes home.
 2. A set with fewer living lists than the overlap any partner must have is
    done. The others order their lists, shortest first, and post a prefix: two
-   sets with the required overlap share a list of it (of the L longest lists
-   that DivideSkip sets aside, none is needed to see a candidate).
-3. Candidates meet in blocks. There each set is a query: its short lists are
-   merged and counted, sets with T - L occurrences are probed in the long lists
-   by binary search, and those that reach T stay.
-
-Documents with equal sets are one set throughout and are expanded at the end.
-Nothing is capped: hot lists only come late in the order.
+   sets with the required overlap share a list of it. By these a set gets a
+   label, the least set that it may be similar to, and goes to the blocks of
+   the pairs of labels that meet in a list.
+3. In a block each set is a query: its short lists are merged, sets with T - L
+   occurrences are probed in the L long ones by binary search (DivideSkip), and
+   those that reach T stay.
+
+Documents with equal sets are one set throughout. Blocks tell how many links
+each set has and a forest that spans them, so that what leaves a block is as
+many rows as it has sets. Nothing is capped: hot lists only come late in the
+order. Grams are told apart by 48 bits of a hash and their shard, sets by a sum
+of 64 bits; what is behind equal hashes isn't compared.
 """
 
 from __future__ import annotations
@@ -228,26 +232,41 @@ def _prefixes(threshold: float):  # noqa: ANN202
     return apply
 
 
-def _listed_pairs(t: pa.Table, tags: np.ndarray, who: np.ndarray, threshold: float, step: int = 3_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (indexes into tags) that share a posted list and could still reach their overlap after it, step and more at a time."""
-    gram, n, behind = (t.column(c).to_numpy() for c in ("gram", "n", "behind"))
-    order = np.lexsort((n, gram))
-    gram, n, behind, who = gram[order], n[order].astype(np.int64), behind[order].astype(np.int64), who[order]
-    cut = ta.bounds(gram)
-    partners = np.repeat(cut[1:], np.diff(cut)) - np.arange(len(gram)) - 1
-    upto = np.cumsum(partners)
-    a = 0
-    while a < len(gram):
-        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + step, side="right")))
-        x = np.repeat(np.arange(a, b), partners[a:b])
-        y = ta.ragged(np.arange(a, b) + 1, partners[a:b])
-        ok = 1 + np.minimum(behind[x], behind[y]) >= required_of(n[x], n[y], threshold)
-        yield who[x[ok]], who[y[ok]]
-        a = b
+class _Lists:
+    """Posted lists of a shard, each by the size of its sets; lo..hi are the places in its list of those a set may be similar to, as far as itself knows."""
+
+    def __init__(self, t: pa.Table, threshold: float):
+        gram, n, behind = (t.column(c).to_numpy() for c in ("gram", "n", "behind"))
+        order = np.lexsort((n, gram))
+        gram, n, behind = gram[order], n[order].astype(np.int64), behind[order].astype(np.int64)
+        self.order, self.cut = order, ta.bounds(gram)
+        self.list = np.repeat(np.arange(len(self.cut) - 1), np.diff(self.cut))
+        # Of two sets with a list in common the overlap is 1 and what is behind it in both, at most.
+        most = np.minimum(np.floor(n / threshold + _EPS), np.floor((1 + behind) * (1 + threshold) / threshold + _EPS).astype(np.int64) - n).astype(np.int64)
+        self.least, self.most, self.n = required(n, threshold), most, n
+        self.wide = int(n.max()) + 2 if len(n) else 2
+
+    def reach(self, group: np.ndarray, key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in key (ascending: group and size in one number) the sizes that each x may have in each group are."""
+        low, high = np.minimum(self.least[x], self.wide - 1), np.clip(self.most[x], -1, self.wide - 2)
+        return np.searchsorted(key, group * self.wide + low), np.searchsorted(key, group * self.wide + high + 1)
+
+
+def _range_min(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of v[lo:hi], none of them empty; by tables of the least of 2^k values."""
+    out, level = np.empty(len(lo), v.dtype), np.frexp((hi - lo).astype(np.float64))[1] - 1
+    table = v
+    for k in range(int(level.max()) + 1 if len(level) else 0):
+        if k:
+            half = 1 << (k - 1)
+            table = np.minimum(table[: len(table) - half], table[half:])
+        o = np.flatnonzero(level == k)
+        out[o] = np.minimum(table[lo[o]], table[hi[o] - (1 << k)])
+    return out
 
 
 def _least_partners(threshold: float):  # noqa: ANN202
-    """Rows (tag, least): a set with candidates, and the least tag among it and them."""
+    """Rows (tag, least): a set with possible partners, and the least tag among it and them."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [b for b in batches if b.num_rows]
@@ -255,18 +274,20 @@ def _least_partners(threshold: float):  # noqa: ANN202
             return
         t = pa.Table.from_batches(tables)
         tags, who = np.unique(t.column("tag").to_numpy(), return_inverse=True)
+        lists = _Lists(t, threshold)
+        who = who[lists.order]
+        lo, hi = lists.reach(lists.list, lists.list * lists.wide + lists.n, np.arange(len(who)))
+        some = np.flatnonzero(hi - lo > ((lists.n >= lists.least) & (lists.n <= lists.most)))  # others than itself
         least, paired = np.arange(len(tags)), np.zeros(len(tags), bool)
-        for x, y in _listed_pairs(t, tags, who, threshold):
-            np.minimum.at(least, x, y)
-            np.minimum.at(least, y, x)
-            paired[x] = paired[y] = True
+        np.minimum.at(least, who[some], _range_min(who, lo[some], hi[some]))
+        paired[who[some]] = True
         yield pa.RecordBatch.from_arrays([pa.array(tags[paired]), pa.array(tags[least[paired]])], ["tag", "least"])
 
     return apply
 
 
-def _meetings(threshold: float):  # noqa: ANN202
-    """Rows (lo, hi, tag, own): a set must be in the block of the labels lo and hi, one of them its own and the other a candidate's."""
+def _meetings(threshold: float, step: int = 2_000_000):  # noqa: ANN202
+    """Rows (lo, hi, tag, own): a set must be in the block of the labels lo and hi, one of them its own and the other a possible partner's."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [b for b in batches if b.num_rows]
@@ -275,12 +296,32 @@ def _meetings(threshold: float):  # noqa: ANN202
         t = pa.Table.from_batches(tables)
         tags, at, who = np.unique(t.column("tag").to_numpy(), return_index=True, return_inverse=True)
         labels, label = np.unique(t.column("own").to_numpy()[at], return_inverse=True)
-        met = np.zeros(0, np.int64)
-        for x, y in _listed_pairs(t, tags, who, threshold):
-            met = np.union1d(met, np.concatenate((x * len(labels) + label[y], y * len(labels) + label[x])))
+        lists = _Lists(t, threshold)
+        who = who[lists.order]
+        own = label[who]
+        # Each list's sets by label, then size; each set against each label of its list.
+        order = np.lexsort((lists.n, own, lists.list))
+        pair = lists.list[order] * len(labels) + own[order]
+        cut = ta.bounds(pair)
+        group = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        key, label_of = group * lists.wide + lists.n[order], own[order][cut[:-1]]
+        list_of = lists.list[order][cut[:-1]]
+        first = np.searchsorted(list_of, np.arange(len(lists.cut) - 1))
+        kinds = np.diff(np.append(first, len(list_of)))
+        upto = np.cumsum(kinds[lists.list])
+        met, a = np.zeros(0, np.int64), 0
+        while a < len(who):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + step, side="right")))
+            of = lists.list[a:b]
+            x, g = np.repeat(np.arange(a, b), kinds[of]), ta.ragged(first[of], kinds[of])
+            lo, hi = lists.reach(g, key, x)
+            alone = (label_of[g] == own[x]) & (lists.n[x] >= lists.least[x]) & (lists.n[x] <= lists.most[x])
+            ok = hi - lo > alone
+            met = np.union1d(met, who[x[ok]] * len(labels) + label_of[g[ok]])
+            a = b
         one, other = met // max(1, len(labels)), labels[met % max(1, len(labels))]
-        own = labels[label[one]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)), pa.array(tags[one]), pa.array(own)], ["lo", "hi", "tag", "own"])
+        mine = labels[label[one]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other)), pa.array(tags[one]), pa.array(mine)], ["lo", "hi", "tag", "own"])
 
     return apply
 
@@ -289,125 +330,167 @@ def divide_skip(sets: list[np.ndarray], ns: np.ndarray, threshold: float, mu: fl
     """(query, partners after it, their overlaps) for each set as a query over the others' inverted lists.
 
     sets hold distinct values each; ns are their whole sizes. The L longest of a
-    query's lists are set aside; the others are merged and counted, sets with
-    T - L occurrences are looked up in the long ones by binary search.
+    query's lists are set aside; the others, each in order, are merged (by a
+    sort that merges runs), and sets that T - L of them have are looked up in
+    the long ones by binary search.
     """
     size = np.array([len(s) for s in sets], np.int64)
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(flat, kind="stable")  # lists by value, owners ascending
     lists, cut = owner[order], np.searchsorted(flat[order], np.arange(flat.max() + 2))
-    length = np.diff(cut)
+    place = np.empty(len(flat), np.int64)  # of each set's own entry in its lists
+    place[order] = np.arange(len(flat))
     first = np.cumsum(size) - size
     for q in range(len(sets)):
-        mine = flat[first[q] : first[q] + size[q]]
+        at = slice(first[q], first[q] + size[q])
+        start, stop = place[at] + 1, cut[flat[at] + 1]  # only sets after the query
+        length = stop - start
         t = int(required(ns[q], threshold))
-        mine = mine[np.argsort(length[mine], kind="stable")]
-        aside = min(t - 1, int(t / (mu * np.log2(max(2, int(length[mine[-1]]))) + 1)), len(mine) - 1)
+        by = np.argsort(length, kind="stable")
+        start, length = start[by], length[by]
+        aside = min(t - 1, int(t / (mu * np.log2(max(2, int(length[-1]))) + 1)), len(by) - 1)
         # Lists as short as the query's rarest gain nothing by being set aside.
-        while aside and length[mine[len(mine) - aside]] <= 4:
+        while aside and length[len(by) - aside] <= 4:
             aside -= 1
-        short, long = mine[: len(mine) - aside], mine[len(mine) - aside :]
-        merged = lists[ta.ragged(cut[short], length[short])]
-        merged = merged[merged > q]
-        count = np.bincount(merged, minlength=len(sets)) if len(merged) else np.zeros(len(sets), np.int64)
-        cand = np.flatnonzero(count >= max(1, t - aside))
-        cand = cand[(cand > q)]
-        if not len(cand):
+        short = len(by) - aside
+        merged = np.sort(lists[ta.ragged(start[:short], length[:short])], kind="stable")
+        ends = ta.bounds(merged)
+        if len(ends) < 2:
             continue
-        got = count[cand]
-        for v in long:
-            members = lists[cut[v] : cut[v + 1]]
-            at = np.searchsorted(members, cand)
-            got = got + ((at < len(members)) & (members[np.minimum(at, len(members) - 1)] == cand))
+        cand, got = merged[ends[:-1]], np.diff(ends)
+        enough = got >= max(1, t - aside)
+        cand, got = cand[enough], got[enough]
+        for a, n in zip(start[short:].tolist(), length[short:].tolist(), strict=True):
+            if not len(cand):
+                break
+            members = lists[a : a + n]
+            where = np.minimum(np.searchsorted(members, cand), n - 1)
+            got = got + (members[where] == cand)
         ok = got >= required_of(ns[q], ns[cand], threshold)
         if ok.any():
             yield q, cand[ok], got[ok]
 
 
-def _verify(threshold: float):  # noqa: ANN202
-    """Blocks come sorted; a pair is told in the block of its own two labels only."""
-
-    def block(rows: list[tuple]) -> tuple[list, list, list, list, list]:
-        out = ([], [], [], [], [])
-        lo, hi = rows[0][0], rows[0][1]
-        sets, ns = [np.frombuffer(r[5], np.uint64) for r in rows], np.array([r[4] for r in rows], np.int64)
-        mine = [(r[3]) for r in rows]
-        if len(rows) == 2:
-            found = [(0, np.array([1]), np.array([len(np.intersect1d(sets[0], sets[1], assume_unique=True))]))]
-            if found[0][2][0] < required_of(ns[0], ns[1], threshold):
-                return out
-        else:
-            found = divide_skip(sets, ns, threshold)
-        for q, partners, overlaps in found:
-            for p, o in zip(partners.tolist(), overlaps.tolist(), strict=True):
-                if sorted((mine[q], mine[p])) == [lo, hi]:
-                    for col, v in zip(out, (rows[q][2], rows[p][2], int(ns[q]), int(ns[p]), o), strict=True):
-                        col.append(v)
-        return out
-
-    def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        a, b, na, nb, o = block(rows)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(na, pa.int32()), pa.array(nb, pa.int32()), pa.array(o, pa.int64())], ["a", "b", "na", "nb", "overlap"])
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(lo, hi, tags, own labels, sizes, copies, sets) of each block; rows come sorted."""
+
+    def made(rows: list[tuple]) -> tuple:
+        lo, hi, tag, own, n, copies, grams = zip(*rows, strict=True)
+        return lo[0], hi[0], *(np.array(c, np.int64) for c in (tag, own, n, copies)), [np.frombuffer(g, np.uint64) for g in grams]
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][:2] != row[:2]:
+                if len(held) > 1:
+                    yield made(held)
+                held = []
+            held.append(row)
+    if len(held) > 1:
+        yield made(held)
+
+
+def _verify(threshold: float, pairs: bool):  # noqa: ANN202
+    """Rows (a, b, na, nb, overlap) of a block's pairs, or (a, null, links) and (a, b) of a forest that spans them; a pair is told in the block of its own two labels only."""
+
+    def of(lo: int, hi: int, own: np.ndarray, sets: list[np.ndarray], ns: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for q, p, o in divide_skip(sets, ns, threshold):
+            mine = (own[p] == hi) if own[q] == lo else (own[p] == lo) if own[q] == hi else np.zeros(len(p), bool)
+            if mine.any():
+                yield q, p[mine], o[mine]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][:2] != row[:2]:
-                    yield from flush(held)
-                    held = []
-                held.append(row)
-        if len(held) > 1:
-            yield from flush(held)
+        for lo, hi, tag, own, ns, copies, sets in _blocks(batches):
+            found = of(lo, hi, own, sets, ns)
+            if pairs:
+                for q, p, o in found:
+                    k = np.full(len(p), q)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (tag[k], tag[p], ns[k], ns[p], o)], ["a", "b", "na", "nb", "overlap"])
+                continue
+            links, tree, edges = np.zeros(len(tag), np.int64), np.arange(len(tag)), []
+            for q, p, _ in found:
+                links[q] += copies[p].sum()
+                links[p] += copies[q]
+                for k in p[tree[p] != tree[q]].tolist():
+                    if tree[k] != tree[q]:
+                        edges.append((q, k))
+                        tree[tree == tree[k]] = tree[q]
+            some = np.flatnonzero(links)
+            a, b = np.array(edges, np.int64).reshape(-1, 2).T
+            one, none = pa.RecordBatch.from_arrays, pa.nulls
+            if len(some):
+                yield one([pa.array(tag[some]), none(len(some), pa.int64()), pa.array(links[some])], ["a", "b", "links"])
+                yield one([pa.array(tag[a]), pa.array(tag[b]), none(len(a), pa.int64())], ["a", "b", "links"])
 
     return apply
 
 
-def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(owners, pairs): rows (tag, n, doc), one for each document with words and its set, and rows (a, b, na, nb, overlap) of similar different sets."""
-    spark = docs.sparkSession
+def _searched(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str, pairs: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows (tag, n, doc), one for each document with words and its set; rows of _verify)."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     shards = store.partitions_for(docs, SHARD_BYTES, 4, 2.0)
     kind = "tag long, n int, doc long, grams binary"
     sent = rows.mapInArrow(_to_shards(shards, n), _SHARD).repartitionById(shards, F.col("shard"))
     home = sent.mapInArrow(_living(shards), _SHARD).repartitionById(shards, F.col("home"))
     found = store.written(home.mapInArrow(_homes(threshold), kind), "sets")
-    owners = found.where("grams is null").select("tag", "n", "doc").distinct()
+    owners = store.written(found.where("grams is null").select("tag", "n", "doc").distinct(), "owners")
     sets = found.where("grams is not null").select("tag", "n", "grams")
     posted = sets.mapInArrow(_prefixes(threshold), "gram long, tag long, n int, behind int")
-    # No table of candidate pairs is made: what moves are sets' labels, the least tag among their candidates.
+    # No table of candidate pairs is made: what moves are sets' labels, the least tag among their possible partners.
     least = posted.repartition(shards, "gram").mapInArrow(_least_partners(threshold), "tag long, least long")
-    label = least.groupBy("tag").agg(F.min("least").alias("label"))
-    label = store.written(label, "labels")
+    label = store.written(least.groupBy("tag").agg(F.min("least").alias("label")), "labels")
     parts = label.groupBy("label").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("k"))
     # A label with very many sets is cut into parts; pairs of labels or parts are the blocks.
     part = F.when(F.col("k") == 1, F.col("label")).otherwise(F.xxhash64("label", F.pmod(F.hash("tag"), F.col("k"))))
     label = label.join(parts, "label").select("tag", part.alias("own"))
     met = posted.join(label, "tag").repartition(shards, "gram").mapInArrow(_meetings(threshold), "lo long, hi long, tag long, own long").distinct()
-    blocks = met.join(sets, "tag").select("lo", "hi", "tag", "own", "n", "grams").repartition(shards, "lo", "hi").sortWithinPartitions("lo", "hi", "tag")
-    pairs = blocks.mapInArrow(_verify(threshold), "a long, b long, na int, nb int, overlap long")
-    return owners, store.written(pairs, "similar")
+    copies = owners.groupBy("tag").agg(F.count("*").alias("copies"))
+    blocks = met.join(sets.join(copies, "tag"), "tag").select("lo", "hi", "tag", "own", "n", "copies", "grams").repartition(shards, "lo", "hi").sortWithinPartitions("lo", "hi", "tag")
+    out = store.written(blocks.mapInArrow(_verify(threshold, pairs), "a long, b long, na long, nb long, overlap long" if pairs else "a long, b long, links long"), "similar")
+    store.drop(found)
+    return owners, out
+
+
+def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_a, doc_b, overlap, jaccard), doc_a < doc_b, of all pairs of different similar sets, each named by the least id that has it."""
+    owners, pairs = _searched(docs, n, threshold, id_col, text_col, True)
+    name = lambda t, d: owners.groupBy(F.col("tag").alias(t)).agg(F.min("doc").alias(d))
+    rows = pairs.join(name("a", "da"), "a").join(name("b", "db"), "b")
+    return rows.select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"), "overlap", (F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("jaccard"))
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_a, doc_b, overlap, jaccard), doc_a < doc_b, of all pairs of similar documents.
+    """Rows (doc_id, class_id, links), one for each document: how many others are similar to it, and the least id of those that chains of similar ones connect it with.
 
     A gram is n successive words (runs of letters and digits, lower case); a
-    document of fewer words has one gram, of them all. Rows with a null id or
-    text and texts without words are in no pair. Rows that repeat an id are
-    versions of one document: it has a row with the most similar pair of
-    versions. Other columns are not read.
+    document of fewer words has one gram, of them all. Rows with a null id have
+    no row. A document whose texts are null or without words is of its own
+    class and has no links. Rows that repeat an id are versions of one
+    document: those with equal sets are one; each version has the versions of
+    other sets or documents that it is similar to as links, and a document the
+    sum of its versions'; their classes are one class. Very long texts are one set
+    as any other. Other columns are not read.
     """
-    owners, pairs = set_pairs(docs, n, threshold, id_col, text_col)
-    owner = lambda t, d: owners.select(F.col("tag").alias(t), F.col("doc").alias(d))
-    different = pairs.join(owner("a", "da"), "a").join(owner("b", "db"), "b").select("da", "db", "overlap", (F.col("na") + F.col("nb") - F.col("overlap")).alias("union"))
-    equal = owners.select("tag", "n", F.col("doc").alias("da")).join(owner("tag", "db"), "tag").where("da < db").select("da", "db", F.col("n").cast("long").alias("overlap"), F.col("n").cast("long").alias("union"))
-    every = different.unionByName(equal).where("da <> db").select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"), "overlap", (F.col("overlap") / F.col("union")).alias("jaccard"))
-    if owners.groupBy("doc").count().where("count > 1").isEmpty():
-        return every.select("doc_a", "doc_b", "overlap", "jaccard")
-    return every.groupBy("doc_a", "doc_b").agg(F.max(F.struct("jaccard", "overlap")).alias("m")).select("doc_a", "doc_b", "m.overlap", "m.jaccard")
+    owners, found = _searched(docs, n, threshold, id_col, text_col, False)
+    links = found.where("b is null").groupBy(F.col("a").alias("tag")).agg(F.sum("links").alias("links"))
+    equal = owners.groupBy("tag").agg((F.count("*") - 1).alias("equal"))
+    of = owners.join(equal, "tag").join(links, "tag", "left").groupBy("doc").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("equal")).alias("links"))
+    grouped = _groups(owners, found)
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    out = out.join(of.join(grouped, "doc").withColumnRenamed("doc", "doc_id"), "doc_id", "left")
+    out = store.written(out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    store.drop(owners), store.drop(found)
+    return out
+
+
+def _groups(owners: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (doc, class): the least document that chains of similar sets, and of versions of a document, connect each with."""
+    versions = owners.groupBy("doc").agg(F.min("tag").alias("a"), F.max("tag").alias("z"), F.count("*").alias("c")).where("c > 1").select("doc", "a")
+    edges = found.where("b is not null").select("a", "b").unionByName(owners.join(versions, "doc").where("a <> tag").select("a", F.col("tag").alias("b")))
+    group = owners.join(components(edges), "tag", "left").select("doc", F.coalesce("label", "tag").alias("comp")).distinct()
+    least = group.groupBy("comp").agg(F.min("doc").alias("class"))
+    return group.join(least, "comp").select("doc", "class")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -415,26 +498,27 @@ def components(edges: DataFrame) -> DataFrame:
 
     Least labels of neighbours, then of labels, until nothing changes; each round is written.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = store.written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
     labels = store.written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("tag"), F.least("u", "m").alias("label")), "components")
     while True:
         of = labels.select(F.col("tag").alias("v"), F.col("label").alias("near"))
         best = both.join(of, "v").groupBy("u").agg(F.min("near").alias("near"))
-        step = labels.join(best, labels.tag == best.u).select("tag", F.least("label", "near").alias("label"), F.col("label").alias("was"))
+        near = store.written(labels.join(best, labels.tag == best.u).select("tag", F.least("label", "near").alias("label"), F.col("label").alias("was")), "components")
         far = labels.select(F.col("tag").alias("label"), F.col("label").alias("further"))
-        step = store.written(step.join(far, "label").select("tag", F.least("label", "further").alias("label"), "was"), "components")
+        step = store.written(near.join(far, "label").select("tag", F.least("label", "further").alias("label"), "was"), "components")
+        store.drop(near), store.drop(labels)
         labels = step.select("tag", "label")
         if step.where("label <> was").isEmpty():
+            store.drop(both)
             return labels
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document, that of the least id, of each group that chains of similar pairs connect.
+    """docs with one document, that of the least id, of each class of jaccard_join().
 
-    Rows in no pair (see jaccard_join) all stay. Rows that repeat an id are one
-    document and stay or go together.
+    Rows with a null id or text and texts without words all stay. Rows that
+    repeat an id are one document and stay or go together. Other columns, of
+    whatever name, are kept as they are.
     """
-    owners, pairs = set_pairs(docs, n, threshold, id_col, text_col)
-    group = owners.join(components(pairs), "tag", "left").select("doc", F.coalesce("label", "tag").alias("comp")).distinct()
-    least = group.groupBy("comp").agg(F.min("doc").alias("keep"), F.count("*").alias("size")).where("size > 1").select("comp", "keep")
-    return store.without(docs, group.join(least, "comp").where("doc <> keep").select("doc"), id_col)
+    owners, found = _searched(docs, n, threshold, id_col, text_col, False)
+    return store.without(docs, _groups(owners, found).where("doc <> class").select("doc"), id_col)

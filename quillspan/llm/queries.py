@@ -62,7 +62,7 @@ def op2_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents
 ), g AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2])
@@ -73,10 +73,14 @@ shared AS (SELECT gram FROM g GROUP BY gram HAVING count(*) > 1),
 p AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap
   FROM g a JOIN shared USING (gram) JOIN g b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY 1, 2
-)
-SELECT doc_a, doc_b, overlap, overlap / (x.n + y.n - overlap) AS jaccard
-FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
-WHERE overlap / (x.n + y.n - overlap) >= 0.5
+), s AS (
+  SELECT doc_a, doc_b FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE overlap / (x.n + y.n - overlap) >= 0.5
+), e AS (SELECT doc_a, doc_b FROM s UNION ALL SELECT doc_b, doc_a FROM s),
+reach AS (SELECT doc_a AS doc, doc_b AS other FROM e UNION SELECT doc, doc_b FROM reach JOIN e ON other = doc_a),
+c AS (SELECT doc, min(other) AS least FROM reach GROUP BY doc),
+l AS (SELECT doc_a AS doc, count(*) AS links FROM e GROUP BY doc_a)
+SELECT doc_id, coalesce(least(doc_id, c.least), doc_id) AS class_id, coalesce(links, 0) AS links
+FROM documents LEFT JOIN c ON c.doc = doc_id LEFT JOIN l ON l.doc = doc_id
 """
 
 

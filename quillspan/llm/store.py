@@ -13,12 +13,14 @@ _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder named by spark.checkpoint.dir; where it is unset, one of our own if all tasks run in this process, as in tests, else an error."""
     set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillspan-"))
         own = spark.sparkContext.getCheckpointDir()
     return own
@@ -74,7 +76,7 @@ def input_bytes(df: DataFrame) -> int:
 
 def partitions_for(df: DataFrame, bytes_each: int, least: int = 1, growth: float = 1.0) -> int:
     """Partitions so that each holds about bytes_each of df's (growth times larger) data."""
-    return max(least, min(200_000, int(input_bytes(df) * growth / bytes_each) + 1))
+    return max(least, int(input_bytes(df) * growth / bytes_each) + 1)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
