@@ -57,8 +57,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose id is divisible by 20, each against all others."""
     docs = documents(spark, sf_dir)
-    return suffix_lm.score(docs, docs, id_col="doc_id", corpus_id="doc_id").withColumnRenamed("item_id", "doc_id")
+    return suffix_lm.score(docs.where("doc_id % 20 = 0"), docs, id_col="doc_id", corpus_id="doc_id").withColumnRenamed("item_id", "doc_id")
 
 
 OP1_SQL = r"""

@@ -88,30 +88,51 @@ def mixed(rng, n):
     return rows
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.8])
-def test_jaccard_join(spark, threshold):
-    rows = mixed(random.Random(2), 150)
-    got = sorted((r.doc_a, r.doc_b, r.overlap, round(r.jaccard, 9)) for r in ngram_join.jaccard_join(table(spark, rows), threshold=threshold).collect())
-    assert got == similar(rows, threshold)
-
-
-def test_keep_one(spark, odd, none):
-    rows = mixed(random.Random(4), 120)
-    parent = {k: k for k, _ in rows}
+def classes(rows, threshold=0.5):
+    """(document, least of its class, links) of documents of one version each."""
+    parent, links = {k: k for k, _ in rows}, Counter()
 
     def root(k):
         while parent[k] != k:
             k = parent[k]
         return k
 
-    for a, b, *_ in similar(rows):
+    for a, b, *_ in similar(rows, threshold):
         x, y = sorted((root(a), root(b)))
         parent[y] = x
+        links[a] += 1
+        links[b] += 1
+    return sorted(((k, root(k), links[k]) for k, _ in rows), key=repr)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_jaccard_join(spark, threshold, monkeypatch):
+    rows = mixed(random.Random(2), 150)
+    assert rows_of(ngram_join.jaccard_join(table(spark, rows), threshold=threshold)) == classes(rows, threshold)
+    least = {}
+    for k, t in rows:
+        least.setdefault(frozenset(grams(t)), k)
+    want = [p for p in similar(rows, threshold) if p[0] in least.values() and p[1] in least.values() and p[3] < 1]
+    assert sorted((r.doc_a, r.doc_b, r.overlap, round(r.jaccard, 9)) for r in ngram_join.similar_sets(table(spark, rows), threshold=threshold).collect()) == want
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 7)  # labels in parts
+    assert rows_of(ngram_join.jaccard_join(table(spark, rows), threshold=threshold)) == classes(rows, threshold)
+
+
+def test_jaccard_join_of_odd_rows(spark, odd, none):
+    assert rows_of(ngram_join.jaccard_join(odd)) == [(1, 1, 0), (2, 2, 0), (3, 3, 1), (4, 4, 1), (5, 4, 1), (6, 3, 1), (7, 7, 0), (8, 8, 0)]
+    assert ngram_join.jaccard_join(none).collect() == []
+    # Versions: 1 is like 2 and like 3, which therefore are of one class; the two of 3 are links of each other.
+    text = {c: " ".join(f"{c}{k}" for k in range(20)) for c in "abc"}
+    rows = [(1, text["a"]), (1, text["b"]), (2, text["a"] + " x"), (3, text["b"] + " y"), (3, text["b"]), (4, text["c"])]
+    assert rows_of(ngram_join.jaccard_join(table(spark, rows))) == [(1, 1, 3), (2, 1, 1), (3, 1, 4), (4, 4, 0)]
+
+
+def test_keep_one(spark, odd, none):
+    rows = mixed(random.Random(4), 120)
     got = sorted(r.doc_id for r in ngram_join.keep_one(table(spark, rows)).collect())
-    assert got == [k for k, _ in rows if root(k) == k]
+    assert got == sorted(k for k, c, _ in classes(rows) if k == c)
     assert Counter(r.doc_id for r in ngram_join.keep_one(odd).collect()) == Counter([None, None, None, 1, 2, 3, 3, 4, 7, 8])
-    assert ngram_join.keep_one(none).count() == 0 == ngram_join.jaccard_join(none).count()
-    assert {(r.doc_a, r.doc_b) for r in ngram_join.jaccard_join(odd).collect()} == {(3, 6), (4, 5)}
+    assert ngram_join.keep_one(none).count() == 0
 
 
 def test_divide_skip():
@@ -163,13 +184,15 @@ def test_suffix_scores_of_the_corpus_itself(spark, odd, monkeypatch):
 
     monkeypatch.setattr(suffix_lm, "SHARD_WORDS", 60)
     rng = random.Random(21)
-    rows = [(k, " ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 40)))) for k in range(40)]
-    rows += [(100, rows[0][1]), (101, rows[1][1] + " z"), (102, "q " * 70), (103, "q " * 70), (104, rows[2][1]), (104, "new a b")]
+    rows = [(k * 5, " ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 40)))) for k in range(40)]
+    rows += [(301, rows[0][1]), (302, rows[4][1] + " z"), (320, "q " * 70), (303, "q " * 70), (340, rows[2][1]), (340, "new a b"), (360, "")]
     monkeypatch.setattr(queries, "documents", lambda *_: table(spark, rows))
     scored = queries.op2_suffix_lm(spark, "")
     got = Counter(tuple(r)[:5] for r in scored.collect())
     want = Counter()
     for k, t in rows:
+        if k % 20:
+            continue
         others = [words(x) for i, x in rows if i != k]
 
         def count(run, others=others):
