@@ -3,7 +3,7 @@ character n-grams, trained with follow-the-regularised-leader (proximal, with
 elastic-net penalties), its probabilities calibrated by a temperature.
 
 Document frequencies cover all documents. The weights are fitted on a sample
-of about max_train labelled documents, the classifier's bound.
+of max_train labelled documents, the classifier's bound.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from . import textarr as ta
+from .sums import vector_sum
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -58,35 +60,23 @@ def buckets(run: ta.Run) -> list[np.ndarray]:
     return out
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df = np.zeros(BUCKETS, np.int64)
-    seen = np.zeros(BUCKETS + 1, bool)
-    docs = 0
-    for batch in batches:
+def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, np.ndarray]:
+    """(documents, documents with each bucket) over all rows of docs; the result's size is fixed."""
+
+    def count(batch: pa.RecordBatch) -> np.ndarray:
+        total, seen = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1, bool)
         for run in ta.runs(batch.column(0)):
             grams = buckets(run)
             for s, e in zip(run.starts.tolist(), (run.starts + run.sizes).tolist(), strict=True):
                 for g in grams:
                     seen[g[s:e]] = True
-                df += seen[:BUCKETS]
+                total[:BUCKETS] += seen[:BUCKETS]
                 seen[:] = False
-            docs += run.n
-    blocks = df.reshape(64, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([docs] * 64, pa.int64()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "docs", "df"])
-
-
-def _sum_blocks(table: pa.Table) -> pa.Table:
-    df = sum(np.frombuffer(x, np.int64) for x in table.column("df").to_pylist())
-    return pa.table({"block": table.column("block")[:1].cast(pa.int32()), "docs": pa.array([sum(table.column("docs").to_pylist())], pa.int64()), "df": pa.array([df.tobytes()], pa.binary())})
+            total[BUCKETS] += run.n
+        return total
 
-
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, np.ndarray]:
-    """(documents, documents with each bucket) over all rows of docs; the result's size is fixed."""
-    kind = "block int, docs long, df binary"
-    rows = docs.select(F.col(text_col)).mapInArrow(_frequencies, kind).groupBy("block").applyInArrow(_sum_blocks, kind).orderBy("block").collect()
-    if not rows:
-        return 0, np.zeros(BUCKETS, np.int64)
-    return rows[0].docs, np.concatenate([np.frombuffer(r.df, np.int64) for r in rows])
+    total = vector_sum(docs.select(F.col(text_col)), BUCKETS + 1, count)
+    return (0, np.zeros(BUCKETS, np.int64)) if total is None else (int(total[BUCKETS]), total[:BUCKETS].astype(np.int64))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,14 +135,14 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_train: int = MAX_TRAIN) -> Model | None:
     """A model of the labels in label_col; None if no row has both a text and a label.
 
-    A tenth of the sample is held out for the temperature. Rows whose id is
-    null are not sampled; repeated rows may be. With one label only, it is given to all.
+    The sample is of max_train rows at most, the first by a hash of id and text,
+    null ids among them; a tenth is held out for the temperature. With one label
+    only, it is given to all.
     """
     total, df = document_frequencies(docs, text_col)
     if not total:
         return None
-    share = min(1_000_000, int(np.ceil(1e6 * max_train / total)))
-    sample = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1_000_000)) < share))
+    sample = store.sample(docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()), max_train, id_col, text_col)
     rows = sample.select(F.col(text_col), F.col(label_col).cast("string")).mapInArrow(_counts, "label string, idx binary, n binary").collect()
     if not rows:
         return None
@@ -195,7 +185,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     A text without letters or digits, an empty or a null one has the language
     'und' and probability 0, as has every text if there is no model. accepted:
     the probability is min_probability at least. Equal scores go to the label
-    first in the alphabet. Other columns are not read; a null id stays null.
+    first in the alphabet. Other columns are not read; a null id stays null, and
+    rows that repeat one have rows each. Texts of any length are read whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a size that doesn't grow with the data
 
@@ -215,7 +206,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", min_probability: float = 0.5) -> DataFrame:
-    """docs without the rows that identify() does not accept; all of them if there is no model."""
+    """docs without the rows that identify() does not accept: null and empty texts and those without letters or digits are among these.
+
+    All are kept if there is no model, as nothing is known of any. Repeated
+    rows each stay or go; other columns, of whatever name, are kept as they are.
+    """
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)

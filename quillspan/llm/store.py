@@ -79,6 +79,20 @@ def partitions_for(df: DataFrame, bytes_each: int, least: int = 1, growth: float
     return max(least, int(input_bytes(df) * growth / bytes_each) + 1)
 
 
+def sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """So many rows of df, or all if it has fewer: the first by a hash of some columns, ties in any order.
+
+    Rows are first thinned to some twice as many by that hash, so that what is sorted doesn't grow with df.
+    """
+    total = df.count()
+    mark = F.xxhash64(*[F.col(c).cast("string") for c in by])
+    share = (2 * rows + 1000) / max(1, total)
+    few = df if share >= 1 else df.where(mark < F.lit(int(2**64 * share) - 2**63))
+    if share < 1 and few.isEmpty():  # nearly all rows are alike
+        few = df
+    return few.orderBy(mark).limit(rows).repartition(max(1, rows // 500))
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
