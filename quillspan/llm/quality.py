@@ -1,6 +1,7 @@
 """Quality classifier: random Fourier features approximate a Gaussian kernel
 over document statistics; ridge scores come from normal equations summed over
-partitions, and isotonic calibration turns them into probabilities.
+partitions, and isotonic calibration of scores that rows get from the other
+folds' equations turns them into probabilities.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from .sums import vector_sum
 STATISTICS = ("log_chars", "log_words", "word_length", "upper", "digits", "spaces", "punctuation", "rare_symbols", "lines", "repeated_words", "distinct_words", "short_words", "word_length_spread", "top_char")
 FEATURES = 256
 RIDGE = 1.0
-BINS = 10_000
+FOLDS = 4
+BINS = 10_000  # of calibration, between scores of minus and plus infinity
 
 
 @dataclass
@@ -30,7 +32,7 @@ class Model:
     directions: np.ndarray  # (statistics, FEATURES)
     phases: np.ndarray
     weights: np.ndarray  # (FEATURES + 1)
-    cuts: np.ndarray  # scores at which a calibrated step begins
+    cuts: np.ndarray  # bins at which a calibrated step begins
     levels: np.ndarray
 
 
@@ -45,7 +47,7 @@ def _kinds() -> np.ndarray:
             kinds[i] = 3 if not ch.isalpha() else 1 if ch.isupper() else 2
         for ch in " \t 　":
             kinds[ord(ch)] = 4
-        for ch in ".,;:?-'\"":
+        for ch in ".,;:!?-'\"":
             kinds[ord(ch)] = 5
         kinds[10] = kinds[13] = 6
         c["kinds"] = kinds
@@ -74,7 +76,7 @@ def statistics(run: ta.Run) -> np.ndarray:
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     distinct = np.bincount(d[new], minlength=run.n)
-    common = np.bincount(np.repeat(np.arange(run.n), run.sizes + 1) * 64 + (run.chars & 63), minlength=run.n * 64).reshape(run.n, 64).max(1)
+    common = _most_common(run)
     out = np.stack(
         [
             np.log1p(run.sizes), np.log1p(words.counts), mean_length, share[0] / np.maximum(1, share[0] + share[1]), share[2] / n, share[3] / n, share[4] / n, share[5] / n,
@@ -86,6 +88,20 @@ def statistics(run: ta.Run) -> np.ndarray:
     return out
 
 
+def _most_common(run: ta.Run) -> np.ndarray:
+    """Times that the most frequent character of each document occurs in it; separators don't count."""
+    inside = np.ones(len(run.chars), bool)
+    inside[run.starts + run.sizes] = False
+    low = inside & (run.chars < 256)
+    doc = np.repeat(np.arange(run.n), run.sizes + 1)
+    out = np.bincount(doc[low] * 256 + run.chars[low], minlength=run.n * 256).reshape(run.n, 256).max(1)
+    high = np.flatnonzero(inside & (run.chars >= 256))
+    if len(high):
+        pair, times = np.unique(doc[high] << 21 | run.chars[high].astype(np.int64), return_counts=True)
+        np.maximum.at(out, pair >> 21, times)
+    return out
+
+
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, stats): one for each row of docs; a null text counts as empty."""
 
@@ -104,10 +120,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def fourier(x: np.ndarray, mean: np.ndarray, spread: np.ndarray, directions: np.ndarray, phases: np.ndarray) -> np.ndarray:
-    z = np.clip((x - mean) / spread, -8, 8) @ directions + phases
+    z = ((x - mean) / spread) @ directions + phases
     return np.concatenate((np.sqrt(2.0 / len(phases)) * np.cos(z), np.ones((len(x), 1))), 1)
 
 
+def bin_of(score: np.ndarray) -> np.ndarray:
+    """The bin of each score: narrow ones around a half, ever wider ones outwards, so that none is cut off."""
+    return np.minimum(BINS - 1, ((np.arctan(4 * (score - 0.5)) / np.pi + 0.5) * BINS).astype(np.int64))
+
+
 def isotonic(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Least-squares non-decreasing fit to y (in the order of the scores), by pooling adjacent violators."""
     value, mass, size = [], [], []
@@ -125,7 +146,8 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     """Fit on every labelled row; None if there is none.
 
     Labels with a null id or value don't count; an id labelled more than once
-    counts as often. Labels of ids without a document are ignored.
+    counts as often. Labels of ids without a document are ignored. The steps
+    of calibration are fitted on scores by the equations of the other FOLDS.
     """
     d = len(STATISTICS)
     moments = vector_sum(stats.select("stats"), 1 + 2 * d, lambda b: (lambda x: np.concatenate(([len(x)], x.sum(0), (x**2).sum(0))))(_matrix(b.column(0))))
@@ -137,33 +159,49 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     rng = np.random.default_rng(seed)
     directions, phases = rng.standard_normal((d, FEATURES)) / np.sqrt(d), rng.uniform(0, 2 * np.pi, FEATURES)  # a kernel as wide as typical distances
     y_of = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("lid"), F.col(label_col).cast("double").alias("y"))
-    fit = stats.join(y_of, stats.doc_id == F.col("lid")).select("stats", "y")
+    fold = F.pmod(F.xxhash64("lid", "stats"), F.lit(FOLDS)).cast("int").alias("fold")
+    fit = stats.join(y_of, stats.doc_id == F.col("lid")).select("stats", "y", fold)
     k = FEATURES + 1
+    upper = np.triu_indices(k)
+    each = len(upper[0]) + k + 1
 
     def equations(batch: pa.RecordBatch) -> np.ndarray:
-        z, y = fourier(_matrix(batch.column(0)), mean, spread, directions, phases), batch.column(1).to_numpy()
-        return np.concatenate(((z.T @ z).ravel(), z.T @ y, [len(y)]))
-
-    total = vector_sum(fit, k * k + k + 1, equations)
-    if total is None or not total[-1]:
+        z, y, of = fourier(_matrix(batch.column(0)), mean, spread, directions, phases), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        out = np.zeros((FOLDS, each))
+        for f in np.unique(of):
+            mine = z[of == f]
+            out[f] = np.concatenate(((mine.T @ mine)[upper], mine.T @ y[of == f], [len(mine)]))
+        return out.ravel()
+
+    total = vector_sum(fit, FOLDS * each, equations)
+    if total is None or not total.reshape(FOLDS, each)[:, -1].sum():
         return None
-    weights = np.linalg.solve(total[: k * k].reshape(k, k) + RIDGE * np.eye(k), total[k * k : -1])
+    total = total.reshape(FOLDS, each)
+
+    def solved(t: np.ndarray) -> np.ndarray:
+        full = np.zeros((k, k))
+        full[upper] = t[: len(upper[0])]
+        return np.linalg.solve(full + np.triu(full, 1).T + RIDGE * np.eye(k), t[len(upper[0]) : -1])
+
+    weights = solved(total.sum(0))
+    # Each row is scored by what the other folds say.
+    others = np.stack([solved(total.sum(0) - t) for t in total])
 
     def binned(batch: pa.RecordBatch) -> np.ndarray:
-        score = fourier(_matrix(batch.column(0)), mean, spread, directions, phases) @ weights
-        at = np.clip(((score + 1) * BINS / 3).astype(np.int64), 0, BINS - 1)
+        z, of = fourier(_matrix(batch.column(0)), mean, spread, directions, phases), batch.column(2).to_numpy()
+        at = bin_of((z * others[of]).sum(1))
         return np.concatenate((np.bincount(at, minlength=BINS), np.bincount(at, batch.column(1).to_numpy(), BINS)))
 
     bins = vector_sum(fit, 2 * BINS, binned)
     used = np.flatnonzero(bins[:BINS])
     levels = isotonic(bins[BINS:][used] / bins[:BINS][used], bins[:BINS][used])
     first = ta.bounds(levels)[:-1]
-    return Model(mean, spread, directions, phases, weights, used[first] * 3 / BINS - 1, levels[first])
+    return Model(mean, spread, directions, phases, weights, used[first], levels[first])
 
 
 def predict(x: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
     score = fourier(x, m.mean, m.spread, m.directions, m.phases) @ m.weights
-    return score, m.levels[np.maximum(0, np.searchsorted(m.cuts, score, side="right") - 1)]
+    return score, m.levels[np.maximum(0, np.searchsorted(m.cuts, bin_of(score), side="right") - 1)]
 
 
 def score(stats: DataFrame, model: Model | None, min_probability: float = 0.5) -> DataFrame:
@@ -189,6 +227,12 @@ def score(stats: DataFrame, model: Model | None, min_probability: float = 0.5) -
 
 
 def classify(docs: DataFrame, labels: DataFrame, min_probability: float = 0.5) -> DataFrame:
-    """Statistics, model and scores of docs. Texts are read once; empty and null ones have statistics of 0."""
+    """Statistics, model and scores of docs: rows of score().
+
+    Texts are read once and whole; empty and null ones have statistics of 0.
+    Rows that repeat an id have rows each, and count as often for the model as
+    they meet labels. Equal scores have equal probabilities. Other columns are
+    not read.
+    """
     stats = store.written(document_statistics(docs), "statistics")
     return score(stats, train(stats, labels), min_probability)
