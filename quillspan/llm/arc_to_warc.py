@@ -8,10 +8,12 @@ identifier, timestamp, type and digests that depend on its contents alone.
 from __future__ import annotations
 
 import base64
+import datetime
 import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +31,7 @@ HEADER = {
     1: re.compile(rb"(?P<url>\S.*?) (?P<ip>[0-9a-fA-F.:]+|-) (?P<date>\d{8,14}) (?P<type>.+?) (?P<length>\d+)"),
     2: re.compile(rb"(?P<url>\S.*?) (?P<ip>[0-9a-fA-F.:]+|-) (?P<date>\d{8,14}) (?P<type>.+?) (?P<code>\d{3}|-) (?P<sum>\S+) (?P<to>\S+) (?P<offset>\d+|-) (?P<file>\S+) (?P<length>\d+)"),
 }
-COLUMNS = "archive string, arc_offset long, record_id string, warc_type string, target_uri string, warc_date string, ip_address string, content_type string, block_digest string, payload_digest string, content_length long, truncated boolean"
+COLUMNS = "archive string, arc_offset long, record_id string, warc_type string, target_uri string, warc_date string, ip_address string, content_type string, block_digest string, payload_digest string, content_length long, truncated boolean, warc_base64 string"
 NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 ARCHIVE_PAGES = 256
 
@@ -50,10 +52,13 @@ def read_records(data: bytes) -> Iterator[ArcRecord]:
 
     Without a version block version 1 is assumed. Blank lines between records
     are passed over, as are lines that are no header of the version; a record
-    whose content ends before its declared length is marked truncated.
+    whose content ends before its declared length is marked truncated. What is
+    before a damage of the compression is read; a last record, without a url,
+    tells of it.
     """
+    damage = ""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data, damage = gunzipped(data)
     version, pos = 1, 0
     while pos < len(data):
         end = data.find(b"\n", pos)
@@ -71,6 +76,32 @@ def read_records(data: bytes) -> Iterator[ArcRecord]:
             version = 2 if content[:1] == b"2" else 1
         text = {k: v.decode("utf-8", "replace") for k, v in match.groupdict().items()}
         yield ArcRecord(begin, text["url"], text["ip"], text["date"], text["type"], content, len(content) < length)
+    if damage:
+        yield ArcRecord(len(data), "", "-", "", "text/plain", damage.encode(), True)
+
+
+def gunzipped(data: bytes) -> tuple[bytes, str]:
+    """(what can be decompressed of one gzip member or many, what is wrong with the rest if anything is)."""
+    out, total = [], len(data)
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        at = total - len(data)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            # Once more in small steps, for what is before the damage.
+            member, begin = zlib.decompressobj(31), 0
+            try:
+                while begin < len(data):
+                    out.append(member.decompress(data[begin : begin + 64]))
+                    begin += 64
+            except zlib.error:
+                pass
+            return b"".join(out), f"damaged gzip member at byte {at}"
+        if not member.eof:
+            return b"".join(out), f"gzip member at byte {at} ends too early"
+        data = member.unused_data
+    return b"".join(out), "" if not data.strip(b"\0") else f"no gzip member at byte {total - len(data)}"
 
 
 def digest(data: bytes) -> str:
@@ -80,28 +111,35 @@ def digest(data: bytes) -> str:
 def timestamp(date: str) -> str:
     """A date of 8 to 14 digits as a WARC date; what is missing counts as zero, what is no date as the epoch."""
     d = date.ljust(14, "0")
-    out = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-    ok = "01" <= d[4:6] <= "12" and "01" <= d[6:8] <= "31" and d[8:10] < "24" and d[10:12] < "60" and d[12:14] <= "60"
-    return out if ok else "1970-01-01T00:00:00Z"
+    try:
+        return datetime.datetime.strptime(d, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ").rjust(20, "0")
+    except ValueError:
+        return "1970-01-01T00:00:00Z"
 
 
 def convert(record: ArcRecord, archive: str) -> tuple:
-    """The row of COLUMNS for a record; see to_warc() for its bytes."""
+    """The row of COLUMNS for a record, but for its bytes; see to_warc() for these."""
     content, kind, payload, uri, media = record.content, "resource", None, record.url, record.content_type
     if record.url.startswith("filedesc:"):
         kind, uri, media = "warcinfo", None, "text/plain"
+    elif not record.url:
+        kind, uri, media = "metadata", None, "text/plain"
     elif content.startswith(b"HTTP/"):
         kind, media = "response", "application/http; msgtype=response"
         head = re.search(rb"\r?\n\r?\n", content)
         payload = digest(content[head.end() :] if head else b"")
     block, date = digest(content), timestamp(record.date)
-    key = hashlib.md5(f"{archive}|{record.url}|{date}|{block}".encode()).hexdigest()
+    key = hashlib.md5(f"{archive}|{record.offset}|{record.url}|{date}|{block}".encode()).hexdigest()
     return archive, record.offset, f"<urn:uuid:{uuid.UUID(key)}>", kind, uri, date, None if record.ip in ("-", "0.0.0.0") else record.ip, media, block, payload, len(content), record.truncated
 
 
 def to_warc(record: ArcRecord, archive: str) -> bytes:
     """A WARC/1.0 record."""
-    row = dict(zip(NAMES, convert(record, archive), strict=True))
+    return _bytes(convert(record, archive), record, archive)
+
+
+def _bytes(values: tuple, record: ArcRecord, archive: str) -> bytes:
+    row = dict(zip(NAMES, values, strict=False))
     head = [("WARC-Type", row["warc_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Date", row["warc_date"]), ("WARC-Target-URI", row["target_uri"]), ("WARC-IP-Address", row["ip_address"])]
     head += [("WARC-Filename", archive if row["warc_type"] == "warcinfo" else None), ("WARC-Block-Digest", row["block_digest"]), ("WARC-Payload-Digest", row["payload_digest"])]
     head += [("WARC-Truncated", "unspecified" if record.truncated else None), ("Content-Type", row["content_type"]), ("Content-Length", str(row["content_length"]))]
@@ -165,12 +203,22 @@ def page_archives(pages: DataFrame, pages_each: int = ARCHIVE_PAGES) -> DataFram
 
 
 def convert_archives(archives: DataFrame) -> DataFrame:
-    """Rows of COLUMNS, one for each record of archives (archive, data); a null archive reads 'none', null data gives no rows."""
+    """Rows of COLUMNS, one for each record of archives (archive, data), the WARC record itself among them.
+
+    A null archive reads 'none'; null and empty data gives no rows. Damaged and
+    cut ones give what is before, and a metadata record that tells where. Equal
+    records of an archive differ by their offset, those of archives that repeat
+    a name don't. Contents of any length are converted whole; other columns are
+    not read.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = [convert(r, name or "none") for r in read_records(data.as_py() or b"")]
+                rows = []
+                for r in read_records(data.as_py() or b""):
+                    row = convert(r, name or "none")
+                    rows.append((*row, base64.b64encode(_bytes(row, r, name or "none")).decode()))
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in rows], SCHEMA)
 
@@ -180,6 +228,56 @@ def convert_archives(archives: DataFrame) -> DataFrame:
 SCHEMA = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[c.split()[1]]) for n, c in zip(NAMES, COLUMNS.split(", "), strict=True)])
 
 
+def write_warc(records: DataFrame, path: str) -> DataFrame:
+    """Write records (see convert_archives) as WARC files, one member of gzip each, under path; rows (file, records) of what was written.
+
+    A file is written by one task, under a name of its own until it is whole, and replaces one that an earlier try of the task has left. Repeated rows are written each.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, base = fs.FileSystem.from_uri(path)
+        system.create_dir(base, recursive=True)
+        context = TaskContext.get()
+        name, count = f"part-{context.partitionId():05d}.warc.gz", 0
+        draft = f"{base}/.{name}.{context.taskAttemptId()}"
+        with system.open_output_stream(draft, compression=None) as out:
+            for batch in batches:
+                for x in batch.column(0).to_pylist():
+                    if x is not None:
+                        out.write(gzip.compress(base64.b64decode(x), mtime=0))
+                        count += 1
+        system.move(draft, f"{base}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], ["file", "records"])
+
+    rows = records.select("warc_base64").mapInArrow(apply, "file string, records long").collect()
+    return records.sparkSession.createDataFrame(rows, "file string, records long")
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (file, warc_type, record_id, target_uri, warc_date, content_length, content) of the .warc.gz files under path."""
+    kind = "file string, warc_type string, record_id string, target_uri string, warc_date string, content_length long, content binary"
+    names = [x.split()[0] for x in kind.split(", ")]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data, pos, rows = gunzipped(data)[0], 0, []
+                while (end := data.find(b"\r\n\r\n", pos)) >= 0:
+                    head = dict(x.split(": ", 1) for x in data[pos:end].decode("utf-8", "replace").split("\r\n")[1:])
+                    size = int(head["Content-Length"])
+                    rows.append((name, head.get("WARC-Type"), head.get("WARC-Record-ID"), head.get("WARC-Target-URI"), head.get("WARC-Date"), size, data[end + 4 : end + 4 + size]))
+                    pos = end + 8 + size
+                for a in range(0, len(rows), 500):
+                    types = [pa.string()] * 5 + [pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 500], strict=True), types, strict=True)], names)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc.gz").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1), "content").mapInArrow(apply, kind)
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Rows (archive, data) of the .arc and .arc.gz files under path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.arc*").load(path)
@@ -192,6 +290,7 @@ def _sql() -> str:
     four = "[" + ", ".join(f"'{i:04b}'" for i in range(16)) + "]"
     b32 = lambda x: f"'sha1:' || array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_position({five}, substr({x}, 5 * i + 1, 5))::BIGINT, 1)), '')"
     bits = lambda x: f"array_to_string(list_transform(string_split(sha1({x}), ''), lambda c: {four}[strpos('0123456789abcdef', c)]), '')"
+    line = lambda x: f"chr(13) || chr(10) || {x}"
     uid = "'<urn:uuid:' || substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21) || '>'"
     return f"""
 WITH pages_of AS (
@@ -213,9 +312,13 @@ WITH pages_of AS (
   SELECT *, coalesce(sum(head + strlen(block) + 1) OVER (PARTITION BY archive ORDER BY page_id NULLS FIRST, url, html ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS arc_offset,
     {bits("block")} AS b, {bits("html")} AS p FROM heads
 ), digested AS (SELECT *, {b32("b")} AS block_digest, CASE WHEN has_payload THEN {b32("p")} END AS payload_digest FROM placed),
-named AS (SELECT *, md5(archive || '|' || url || '|' || warc_date || '|' || block_digest) AS m FROM digested)
-SELECT archive, arc_offset::BIGINT AS arc_offset, {uid} AS record_id, warc_type, target_uri, warc_date, ip_address, content_type, block_digest, payload_digest, strlen(block)::BIGINT AS content_length, false AS truncated
-FROM named
+named AS (SELECT *, md5(archive || '|' || arc_offset || '|' || url || '|' || warc_date || '|' || block_digest) AS m FROM digested),
+records AS (SELECT *, {uid} AS record_id FROM named)
+SELECT archive, arc_offset::BIGINT AS arc_offset, record_id, warc_type, target_uri, warc_date, ip_address, content_type, block_digest, payload_digest, strlen(block)::BIGINT AS content_length, false AS truncated,
+  to_base64(encode('WARC/1.0' || {line("'WARC-Type: ' || warc_type")} || {line("'WARC-Record-ID: ' || record_id")} || {line("'WARC-Date: ' || warc_date")} || coalesce({line("'WARC-Target-URI: ' || target_uri")}, '')
+    || coalesce({line("'WARC-IP-Address: ' || ip_address")}, '') || CASE warc_type WHEN 'warcinfo' THEN {line("'WARC-Filename: ' || archive")} ELSE '' END || {line("'WARC-Block-Digest: ' || block_digest")}
+    || coalesce({line("'WARC-Payload-Digest: ' || payload_digest")}, '') || {line("'Content-Type: ' || content_type")} || {line("'Content-Length: ' || strlen(block)")} || {line("''")} || {line("''")} || block || {line("''")} || {line("''")})) AS warc_base64
+FROM records
 """
 
 
