@@ -2,8 +2,9 @@
 page indexes, for reads of a few documents or of metadata alone.
 
 Token ids are dictionary-encoded (a vocabulary is small), ids and lengths
-delta-packed. Rows are sorted by doc_id within each file, so that the minima
-and maxima of row groups and pages let a reader skip what it doesn't ask for.
+delta-packed. Rows are in order of doc_id, over all files and in each, so that
+the minima and maxima of files, row groups and pages let a reader skip what it
+doesn't ask for.
 """
 
 from __future__ import annotations
@@ -18,20 +19,23 @@ from pyspark.sql import types as T
 from . import sentencepiece_bpe as bpe
 from . import store
 
+FILE_BYTES = 32 << 20  # of the input in each file, about
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 METADATA = ("lang", "source")
 
 
 def tokenized(docs: DataFrame, model_path: str = bpe.MODEL, id_col: str = "doc_id", text_col: str = "text", metadata: Sequence[str] = METADATA) -> DataFrame:
-    """Rows (doc_id, *metadata, n_tokens, tokens), sorted by doc_id within each partition.
+    """Rows (doc_id, *metadata, n_tokens, tokens), each partition a range of doc_id and sorted by it.
 
-    Null texts have null tokens and length, empty ones an empty list. Null ids
-    come first; repeated rows each stay. Metadata columns that docs lacks are
+    Null texts have null tokens and length, empty ones an empty list; texts of
+    any length are encoded whole. Null ids come first; repeated rows each stay,
+    and an id that many rows repeat takes as many ranges as it needs. Metadata columns that docs lacks are
     left out, as are those named like a column of the result; others are not read.
     """
     kept = [m for m in metadata if m in docs.columns and m not in ("doc_id", "tokens", "n_tokens", id_col, text_col)]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *kept, F.col(text_col).cast("string").alias("__text")).sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *kept, F.col(text_col).cast("string").alias("__text"))
+    rows = rows.repartitionByRange(store.partitions_for(docs, FILE_BYTES), "doc_id", F.monotonically_increasing_id()).sortWithinPartitions("doc_id")
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_tokens", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +77,7 @@ def read_tokens(spark: SparkSession, path: str, columns: Sequence[str] | None =
 
 
 def stored(docs: DataFrame, model_path: str = bpe.MODEL) -> DataFrame:
-    """Tokens of docs, written to the shared folder and read again."""
+    """Tokens of docs, written to the shared folder and read again: rows of tokenized(), whose rules hold for nulls and the like."""
     path = store.new_path(docs.sparkSession, "tokens")
     write_tokens(tokenized(docs, model_path), path)
     return read_tokens(docs.sparkSession, path)
