@@ -4,9 +4,10 @@ Nodes are the tokens of a document that could be part of an entity: those with
 a digit or an at sign, long ones of capitals and digits, and any that follow a
 key word or are glued to one. All others are of
 the label O by the model's definition, so that chains break there exactly.
-Neighbours share chain potentials; a token also shares potentials with the one
-before it of the same text, and with the one before it of a similar shape,
-however far away. Loopy belief propagation makes the labels of a document agree.
+Neighbours share chain potentials; a token also shares potentials with the
+first one of the same text, and with the one before it of a similar shape,
+however far away. Loopy belief propagation, until messages settle, makes the
+labels of a document agree.
 
 The model is fitted on a bounded sample of documents, labelled by strict
 patterns; its own features are shapes and contexts, not those patterns.
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from . import textarr as ta
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET", "ID")
 MERGED = {"PHONE", "CARD", "ID"}  # successive tokens of these are one entity
 CHAIN, REPEAT, SIMILAR = range(3)
-ROUNDS = 8
+ROUNDS = 8  # of messages in training
+SETTLED = 1e-3
 MAX_TRAIN = 6000
 PATTERNS = [
     ("EMAIL", re.compile(r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+")),
@@ -171,7 +174,8 @@ def graph(run: ta.Run) -> Graph:
         alike = last.get((d, "shape", shape))
         if alike is not None and alike != same:
             edges.append((alike, n, SIMILAR))
-        last[d, "text", low] = last[d, "shape", shape] = n
+        last.setdefault((d, "text", low), n)
+        last[d, "shape", shape] = n
     return Graph(np.array(doc, np.int64), np.array(begin, np.int64), np.array(stop, np.int64), np.array(x, np.float64).reshape(-1, FEATURES), np.array(edges, np.int64).reshape(-1, 3))
 
 
@@ -180,8 +184,8 @@ def _logsumexp(a: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis))
 
 
-def beliefs(g: Graph, m: Model, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(label probabilities of nodes, joint ones of edges) by loopy message passing, all messages at once in each round."""
+def beliefs(g: Graph, m: Model, rounds: int | None = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(label probabilities of nodes, joint ones of edges) by loopy message passing, all messages at once in each round; None: until none changes by SETTLED, or as many rounds as there are nodes."""
     local = g.x @ m.node
     i, j, kind = g.edges.T
     theta = m.edge[kind]
@@ -193,11 +197,15 @@ def beliefs(g: Graph, m: Model, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nd
         np.add.at(t, i, back)
         return t
 
-    for _ in range(rounds if len(i) else 0):
+    for _ in range((len(local) if rounds is None else rounds) if len(i) else 0):
         t = total()
         f = _logsumexp((t[i] - back)[:, :, None] + theta, 1)
         b = _logsumexp((t[j] - forward)[:, None, :] + theta, 2)
-        forward, back = (0.8 * (f - f.max(1, keepdims=True)) + 0.2 * forward), (0.8 * (b - b.max(1, keepdims=True)) + 0.2 * back)
+        f, b = (0.8 * (f - f.max(1, keepdims=True)) + 0.2 * forward), (0.8 * (b - b.max(1, keepdims=True)) + 0.2 * back)
+        settled = rounds is None and max(np.abs(f - forward).max(), np.abs(b - back).max()) < SETTLED
+        forward, back = f, b
+        if settled:
+            break
     t = total()
     node = np.exp(t - _logsumexp(t, 1)[:, None]) if len(t) else t
     pair = (t[i] - back)[:, :, None] + (t[j] - forward)[:, None, :] + theta
@@ -251,13 +259,8 @@ def fit(g: Graph, y: np.ndarray, steps: int = 150, rate: float = 0.5, ridge: flo
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> Model | None:
-    """Fitted on about max_train documents, chosen by a hash of their ids; None if these hold no candidate token."""
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    total = rows.count()
-    if not total:
-        return None
-    share = min(1_000_000, int(np.ceil(1e6 * max_train / total)))
-    parts = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1_000_000)) < share).select(F.col(text_col).cast("string")).mapInArrow(_examples, "x binary, edges binary, y binary").collect()
+    """Fitted on max_train documents at most, the first by a hash of id and text; None if these hold no candidate token."""
+    parts = store.sample(docs.where(F.col(text_col).isNotNull()), max_train, id_col, text_col).select(F.col(text_col).cast("string")).mapInArrow(_examples, "x binary, edges binary, y binary").collect()
     graphs, labels, at = [], [], 0
     for r in sorted(parts, key=lambda r: (r.x, r.edges)):
         x, e = np.frombuffer(r.x).reshape(-1, FEATURES), np.frombuffer(r.edges, np.int64).reshape(-1, 3)
@@ -274,7 +277,7 @@ def entities(g: Graph, m: Model) -> list[tuple[int, int, int, str, float]]:
     """(doc, begin, end, label, probability) of a graph's entities; a merged one has its least certain token's probability."""
     if not len(g.doc):
         return []
-    node, _ = beliefs(g, m)
+    node, _ = beliefs(g, m, None)
     label, p = node.argmax(1), node.max(1)
     chained = {int(j) for _, j, kind in g.edges if kind == CHAIN}
     out: list[tuple[int, int, int, str, float]] = []
@@ -294,8 +297,9 @@ def find(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
     """Rows (doc_id, begin, end, label, probability), one for each entity; offsets count code points, end is past the last.
 
     Null and empty texts have no entities, nor has anything without a model.
-    Null ids stay null; rows that repeat one are told of each. Other columns are
-    not read.
+    Null ids stay null; rows that repeat one are told of each. Texts of any
+    length are read whole, and tokens of the same text however far apart bear
+    on each other. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
     names = ["doc_id", "begin", "end", "label", "probability"]
