@@ -1,5 +1,6 @@
 """Each operator against its definition on small tables, and on odd ones."""
 
+import gzip
 import math
 import random
 import re
@@ -57,6 +58,9 @@ def test_exact_groups(spark, odd, none):
     assert Counter(r[0] for r in rows_of(exact_dedup.keep_first(odd).select("doc_id"))) == Counter([None, None, 1, 2, 3, 4, 5, 7, 8])
     assert Counter(r[1:] for r in rows_of(exact_dedup.exact_groups(odd)))[3, 3] == 3
     assert exact_dedup.keep_first(odd).columns == odd.columns and exact_dedup.keep_first(none).count() == 0
+    # Rows that repeat an id have texts of their own, of which the first of each stays; of rows alike in all one does.
+    again = [(1, "a"), (1, "b"), (2, "b"), (2, "b"), (3, "c"), (3, "c"), (None, "d"), (None, "d"), (4, None), (4, None), (5, "a"), (None, "c"), (6, "e")]
+    assert Counter((r.doc_id, r.text) for r in exact_dedup.keep_first(table(spark, again)).collect()) == Counter([(1, "a"), (1, "b"), (3, "c"), (None, "d"), (4, None), (4, None), (6, "e")])
 
 
 # N-gram Jaccard join
@@ -233,6 +237,26 @@ def test_archives(spark):
     assert arc_to_warc.convert_archives(arc_to_warc.page_archives(pages.limit(0))).collect() == []
     odd = spark.createDataFrame([("x.arc", None), (None, bytearray(b""))], "archive string, data binary")
     assert arc_to_warc.convert_archives(odd).collect() == []
+    # Damaged archives give what is before, and say so; equal records differ by their place.
+    plain = arc_to_warc.opening("a", 1) + b"".join(arc_to_warc.arc_record("http://h/1", "1.2.3.4", "20010231000000", bytes(range(256)) * 20, "a", 1) for _ in range(2))
+    whole = gzip.compress(plain)
+    rows = {}
+    for name, data in (("a.arc.gz", whole), ("cut.arc.gz", whole[:-30]), ("bad.arc.gz", whole[:60] + b"????????" + whole[68:]), ("no.arc.gz", b"\x1f\x8b??"), ("two.arc.gz", gzip.compress(plain[:50]) + gzip.compress(plain[50:]))):
+        rows[name] = arc_to_warc.convert_archives(spark.createDataFrame([(name, bytearray(data), 1)], "archive string, data binary, record_id long")).collect()
+    assert [r.warc_type for r in rows["a.arc.gz"]] == [r.warc_type for r in rows["two.arc.gz"]] == ["warcinfo", "resource", "resource"] and len({r.record_id for r in rows["a.arc.gz"]}) == 3
+    assert {r.warc_date for r in rows["a.arc.gz"][1:]} == {"1970-01-01T00:00:00Z"}
+    assert all(rows[k][-1].warc_type == "metadata" and rows[k][-1].truncated for k in ("cut.arc.gz", "bad.arc.gz", "no.arc.gz"))
+
+
+def test_warc_files(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://a/{k}", f"<p>é {k}</p>" * (k % 5)) for k in range(300)], "page_id long, url string, html string")
+    records = arc_to_warc.convert_archives(arc_to_warc.page_archives(pages))
+    path = f"file://{tmp_path}/warc"
+    assert sum(r.records for r in arc_to_warc.write_warc(records, path).collect()) == records.count() == 302
+    back = {r.record_id: r for r in arc_to_warc.read_warc(spark, path).collect()}
+    for r in records.collect():
+        b = back[r.record_id]
+        assert (b.warc_type, b.target_uri, b.warc_date, b.content_length, arc_to_warc.digest(bytes(b.content))) == (r.warc_type, r.target_uri, r.warc_date, r.content_length, r.block_digest)
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -270,10 +294,29 @@ def test_quality(spark, odd, none):
     pairs = sorted((r.score, r.probability) for r in got.values())
     assert all(a[1] <= b[1] for a, b in zip(pairs, pairs[1:], strict=False))
     assert quality.classify(odd, labels).count() == odd.count() and quality.classify(none, labels).count() == 0
+    # The whole query against its definition: ridge by the rows themselves, folds held out.
+    stats = {r.doc_id: np.array(r.stats) for r in quality.document_statistics(table(spark, rows)).collect()}
+    x, y = np.stack([stats[k] for k, _ in rows]), np.array([k % 2 for k, _ in rows[:300]], float)
+    gen = np.random.default_rng(11)
+    d, p = gen.standard_normal((x.shape[1], quality.FEATURES)) / np.sqrt(x.shape[1]), gen.uniform(0, 2 * np.pi, quality.FEATURES)
+    spread = np.where(x.std(0) < 1e-9, 1, x.std(0))
+    z = np.concatenate((np.sqrt(2 / quality.FEATURES) * np.cos((x - x.mean(0)) / spread @ d + p), np.ones((len(x), 1))), 1)
+    w = np.linalg.solve(z[:300].T @ z[:300] + np.eye(z.shape[1]), z[:300].T @ y)
+    assert np.allclose([got[k].score for k, _ in rows], z @ w, atol=1e-6)
     unlabelled = quality.classify(odd, labels.limit(0)).collect()
     assert all(r.keep and r.score is None for r in unlabelled)
 
 
+def test_statistics():
+    texts = ["", "aaa!! b", "ééé é", "A! A! A!", " " * 9 + "xyz"]
+    run = next(iter(ta.runs(pa.array(texts))))
+    got = quality.statistics(run)
+    top = [max(Counter(t).values()) / len(t) if t else 0 for t in texts]
+    assert np.allclose(got[:, quality.STATISTICS.index("top_char")], top)
+    assert np.allclose(got[:, quality.STATISTICS.index("punctuation")], [sum(c in ".,;:!?-'\"" for c in t) / max(1, len(t)) for t in texts])
+    assert quality.bin_of(np.array([-1e9, 0.5, 1e9])).tolist() == [0, quality.BINS // 2, quality.BINS - 1]
+
+
 def test_isotonic():
     rng = np.random.default_rng(1)
     y, w = rng.random(60), rng.random(60) + 0.1
@@ -293,31 +336,71 @@ def test_fourier_features_are_a_kernel():
 # Decontamination
 
 
-def test_leaks(spark, odd, none):
-    rng = random.Random(10)
-    vocabulary = [f"w{k}" for k in range(3000)]
-    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [(k, prose(rng.randint(15, 150))) for k in range(12)]
-    rows, planted = [], set()
-    for k in range(240):
-        w = prose(rng.randint(50, 400))
-        if k % 4 == 0:
-            i, passage = items[k // 4 % 12]
-            passage = list(passage)
-            if k % 8 == 0:  # a paraphrase: some words go, some change
-                for _ in range(len(passage) // 10):
-                    passage[rng.randrange(len(passage))] = "other"
+def common(a, b):
+    """Length of the longest common subsequence, bit-parallel in one integer."""
+    masks = {}
+    for k, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    v = full
+    for x in b:
+        u = v & masks.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - bin(v).count("1")
+
+
+def holds(item, w):
+    """By the definition: the greatest share of the item in a stretch of w that passes, or None."""
+    answer, size, have = item[-decontaminate.answer_words(len(item)) :], int(decontaminate.reach(np.array(len(item)))), Counter(item)
+    best = None
+    for a in range(len(w)):
+        part = w[a : a + size]
+        if w[a] in have and sum((Counter(part) & have).values()) >= decontaminate.MIN_LCS * len(item) - 1e-9:
+            share = common(item, part) / len(item)
+            if share >= decontaminate.SURE_LCS or (share >= decontaminate.MIN_LCS and common(answer, part) / len(answer) >= decontaminate.MIN_ANSWER):
+                best = max(best or 0, share)
+    return best
+
+
+def planted(rng, prose, items, n, rates, near=None):
+    """Documents, every second with a changed item in it."""
+    rows = []
+    for k in range(n):
+        w = prose(rng.randint(40, 250))
+        if k % 2 == 0:
+            passage = list(items[(k // 2) % len(items)][1])
+            for at in rng.sample(range(len(passage)), int(len(passage) * rng.choice(rates))):
+                passage[at] = rng.choice(near or ["other", "words"])
             at = rng.randrange(len(w))
             w[at:at] = passage
-            planted.add((k, i))
-        rows.append((k, " ".join(w)))
+        rows.append((k, w))
+    return rows
+
+
+def test_leaks(spark, odd, none, monkeypatch):
+    rng = random.Random(10)
+    vocabulary = [f"w{k}" for k in range(600)]
+    weights = [1 / (k + 3) for k in range(600)]
+    prose = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = [(k, prose(rng.randint(15, 150))) for k in range(14)] + [(20, prose(640))]
+    rows = planted(rng, prose, items, 200, [0, 0.1, 0.2, 0.3, 0.4])
+    rows += [(500, prose(30) + items[-1][1][64:128] + prose(30)), (501, [])]
+    want = {(k, i): share for k, w in rows for i, item in items if (share := holds(item, w)) is not None}
+    assert len(want) > 70 and (500, 20) not in want
+    docs = table(spark, [(k, " ".join(w)) for k, w in rows])
     benchmark = spark.createDataFrame([(i, " ".join(p)) for i, p in items] + [(None, "a b"), (77, None), (78, "")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(table(spark, rows), benchmark).collect()}
-    assert got == planted
-    kept = sorted(r.doc_id for r in decontaminate.without_leaks(table(spark, rows), benchmark).collect())
-    assert kept == [k for k, _ in rows if k % 4]
+    got = decontaminate.leaks(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == set(want)
+    assert all(abs(r.lcs - want[r.doc_id, r.item_id]) < 1e-9 for r in got) and np.mean([r.cosine > decontaminate.MIN_COSINE for r in got]) > 0.5 and all(r.cosine > 0 for r in got)
+    kept = sorted(r.doc_id for r in decontaminate.without_leaks(docs, benchmark).collect())
+    assert kept == sorted({k for k, _ in rows} - {k for k, _ in want})
+    monkeypatch.setattr(decontaminate, "SLICE_CHARS", 1500)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, benchmark).collect()} == set(want)
+    monkeypatch.undo()
     assert decontaminate.without_leaks(odd, benchmark).count() == odd.count() and decontaminate.leaks(none, benchmark).count() == 0
     assert decontaminate.leaks(odd, benchmark.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "lorem ipsum dolor " * 5)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(odd, long).collect()} == {4, 5}
 
 
 def test_leaks_of_short_changed_items(spark):
@@ -326,58 +409,28 @@ def test_leaks_of_short_changed_items(spark):
     weights = [1 / (k + 5) for k in range(1500)]
     prose = lambda n: rng.choices(vocabulary, weights, k=n)
     items = [(k, prose(rng.randint(15, 24))) for k in range(1200)]
-
-    def common(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            row = [0, *row]
-            old, row = row[1:], [0] * (len(b) + 1)
-            for j, y in enumerate(b):
-                row[j + 1] = old[j] + 1 if x == y else max(old[j + 1], row[j])
-        return row[-1]
-
-    rows, planted = [], set()
-    for k in range(300):
-        i, item = items[k * 4]
-        changed = list(item)
-        for at in rng.sample(range(len(item)), int(len(item) * rng.choice([0.2, 0.3, 0.4]))):
-            changed[at] = rng.choice(vocabulary)
-        share, answer = common(item, changed) / len(item), item[-decontaminate.answer_words(len(item)) :]
-        if share >= decontaminate.SURE_LCS or (share >= decontaminate.MIN_LCS and common(answer, changed) / len(answer) >= decontaminate.MIN_ANSWER):
-            planted.add((k, i))
-        w = prose(rng.randint(80, 300))
-        at = rng.randrange(len(w))
-        w[at:at] = changed
-        rows.append((k, " ".join(w)))
+    rows = planted(rng, prose, items, 300, [0.2, 0.3, 0.4], vocabulary)
+    sure = {(k, k // 2) for k, w in rows if k % 2 == 0 and holds(items[k // 2][1], w) is not None}
     benchmark = spark.createDataFrame([(i, " ".join(p)) for i, p in items], "item_id long, text string")
-    found = decontaminate.leaks(table(spark, rows), benchmark).collect()
-    got = {(r.doc_id, r.item_id) for r in found}
-    assert len(planted) > 150 and planted <= got
-
-    def passes(item, text):
-        share, answer = common(item, text) / len(item), item[-decontaminate.answer_words(len(item)) :]
-        return share >= decontaminate.SURE_LCS or (share >= decontaminate.MIN_LCS and common(answer, text) / len(answer) >= decontaminate.MIN_ANSWER)
-
-    # What else is found by words alone passes by chance or with words beside it.
-    for r in found:
-        if r.cosine is None and (r.doc_id, r.item_id) not in planted:
-            item, w = items[r.item_id][1], rows[r.doc_id][1].split()
-            size = int(decontaminate.reach(np.array(len(item))))
-            assert any(passes(item, w[a : a + size]) for a in range(len(w)))
+    found = decontaminate.leaks(table(spark, [(k, " ".join(w)) for k, w in rows]), benchmark).collect()
+    assert len(sure) > 80 and sure <= {(r.doc_id, r.item_id) for r in found}
+    assert all(abs(holds(items[r.item_id][1], rows[r.doc_id][1]) - r.lcs) < 1e-9 for r in found)
 
 
 def test_latent_space_and_lcs():
     rng = np.random.default_rng(4)
-    a = rng.standard_normal((200, 30)) @ np.diag(0.7 ** np.arange(30))
-    space = decontaminate.latent_space(lambda q: a.T @ (a @ q), np.ones(30), rank=5)
+    a = rng.standard_normal((400, 30)) @ np.diag(0.6 ** np.arange(30))
+    sketch = (rng.integers(0, 2, (decontaminate.SKETCH, 400)) * 2 - 1) / np.sqrt(decontaminate.SKETCH) @ a
+    space = decontaminate.latent_space(sketch, rank=5)
+    space /= np.linalg.norm(space, axis=0)
     exact = np.linalg.svd(a)[2][:5]
-    assert np.abs(np.linalg.svd(exact @ space)[1] - 1).max() < 1e-3
-    items = decontaminate.pieces([1, 2], ["a b c d e f g h", "x " * 64])
-    term = np.searchsorted(items.terms, ta_words("b z d f x x h"))
-    known = np.isin(ta_words("b z d f x x h"), items.terms)
-    term = np.where(known, term, -1)
-    common, _ = decontaminate.lcs(items, items.index(), np.array([0, 1]), term, np.array([0, 0]), np.array([7, 7]))
-    assert common.tolist() == [4, 2]
+    assert np.linalg.norm(a @ space) > 0.98 * np.linalg.norm(a @ exact.T)
+    items = decontaminate.Items.of([1, 2, 3], ["a b c d e f g h", "x " * 64, " ".join(f"k{n}" for n in range(200))])
+    text = ta_words("b z d f x x h " + " ".join(f"k{n}" for n in range(20, 190, 2)))
+    at = np.minimum(np.searchsorted(items.terms, text), len(items.terms) - 1)
+    code = np.where(items.terms[at] == text, at, len(items.terms)).astype(np.int16)
+    got, said = items.common(np.array([0, 1, 2]), code, np.array([0, 0, 0]), np.array([7, 7, len(code)]))
+    assert got.tolist() == [4, 2, 85] and said.tolist() == [2, 2, 20]
 
 
 def ta_words(text):
@@ -407,6 +460,22 @@ def test_encoding(spark, odd, none):
     assert rows_of(back) == [(1, "a bé"), (2, None), (3, "")]
 
 
+def test_compatible_pairs():
+    v = sentencepiece_bpe.vocabulary(sentencepiece_bpe.MODEL)
+    rng = np.random.default_rng(9)
+    ids = np.array(sorted(v.text))
+    one, two = rng.choice(ids, 6000), rng.choice(ids, 6000)
+    # Pairs whose border is inside a piece are the hard ones.
+    longer = [v.text[i] for i in ids.tolist() if len(v.text[i]) > 3]
+    for k in range(2000):
+        p = longer[rng.integers(len(longer))]
+        cut = rng.integers(1, len(p))
+        if p[:cut] in v.piece_id and p[cut:] in v.piece_id:
+            one[k], two[k] = (v.piece_id[p[:cut]], two[k]) if k % 2 else (one[k], v.piece_id[p[cut:]])
+    want = [v.merge(v.text[a] + v.text[b]) == [v.text[a], v.text[b]] for a, b in zip(one.tolist(), two.tolist(), strict=True)]
+    assert v.compatible(one, two).tolist() == want and 0.1 < np.mean(want) < 0.99
+
+
 # Personal data
 
 
@@ -448,6 +517,9 @@ def test_personal_data(spark, odd, none):
     assert len(got & truth) >= 0.95 * len(truth) and len(got & truth) >= 0.95 * len(got)
     assert pii.find(none, model).count() == 0 == pii.find(odd, None).count() and pii.train(none) is None
     assert pii.find(odd, model).columns == ["doc_id", "begin", "end", "label", "probability"]
+    strange = [(None, "mail a.b@c.org now"), (9, "mail a.b@c.org now"), (9, "mail a.b@c.org now"), (10, LONG + "a.b@c.org"), (11, ""), (12, None), (13, "@ @@ 1 .")]
+    got = rows_of(pii.find(table(spark, strange), model).where("label = 'EMAIL'").select("doc_id", "begin", "end"))
+    assert got == sorted([(None, 5, 14), (9, 5, 14), (9, 5, 14), (10, len(LONG), len(LONG) + 9)], key=repr)
 
 
 def test_secrets_of_letters_alone(spark):
@@ -527,6 +599,36 @@ def test_language(spark, odd, none):
     assert language_id.keep_identified(odd, None).count() == odd.count()
 
 
+def test_bounded_samples(spark, monkeypatch):
+    rows = [(7, LANGUAGES["en"], "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, max_train=50)
+    assert language_id.identify(docs.limit(1), model).first().language == "en"
+    many = spark.createDataFrame([(k, f"{k} x", "en") for k in range(5000)], "doc_id long, text string, lang string")
+    assert store.sample(many, 50, "doc_id", "text").count() == 50 and store.sample(many.limit(3), 50, "doc_id").count() == 3
+
+
+def test_document_frequencies_and_scores(spark):
+    rng = random.Random(15)
+    texts = [" ".join(rng.choice(LANGUAGES[k % 2 and "en" or "de"].split()) for _ in range(rng.randint(0, 12))) for k in range(60)]
+    docs = spark.createDataFrame([(k, t, k % 2 and "en" or "de") for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(40)
+    total, df = language_id.document_frequencies(docs)
+    grams = []
+    for t in texts:
+        run = next(iter(ta.runs(pa.array([t]))))
+        grams.append([b for g in language_id.buckets(run) for b in g[: len(t)].tolist()])
+    want = Counter(b for g in grams for b in set(g))
+    assert total == 60 and {k: int(v) for k, v in enumerate(df) if v} == want
+    model = language_id.train(docs)
+    for r in language_id.identify(docs, model).collect():
+        g = grams[r.doc_id]
+        if texts[r.doc_id]:
+            logits = np.array([sum(w[b] for b in g) / len(g) for w in model.weights]) + model.bias
+            p = np.exp(logits / model.temperature - max(logits / model.temperature))
+            p /= p.sum()
+            assert r.language == model.labels[int(p.argmax())] and abs(r.probability - p.max()) < 1e-5
+
+
 def test_temperature():
     rng = np.random.default_rng(7)
     logits = rng.standard_normal((4000, 3)) * 2
