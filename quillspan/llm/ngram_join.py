@@ -33,7 +33,7 @@ from . import textarr as ta
 
 N = 3
 THRESHOLD = 0.5
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 32 << 20
 BLOCK_SETS = 4000
 _EPS = 1e-9
 
@@ -74,6 +74,16 @@ def _join(column: pa.Array, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), dtype)
 
 
+def _pack_counts(n: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the greatest needs."""
+    return n.astype(np.min_scalar_type(int(n.max()))).tobytes()
+
+
+def _counts(column: pa.Array, tags: pa.Array) -> np.ndarray:
+    out = [np.frombuffer(c, f"<u{8 * len(c) // len(t)}") for c, t in zip(column.to_pylist(), tags.to_pylist(), strict=True)]
+    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+
+
 _SHARD = "shard int, home int, docs binary, tags binary, ns binary, counts binary, grams binary, dfs binary"
 _SHARD_NAMES = [x.split()[0] for x in _SHARD.split(", ")]
 _SHARD_TYPES = [pa.int32(), pa.int32()] + [pa.binary()] * 6
@@ -110,7 +120,7 @@ def _to_shards(shards: int, n: int):  # noqa: ANN202
                     a, b = ends[s], ends[s + 1]
                     if a < b:
                         d = docs[a:b]
-                        rows.append((s, -1, None, tag[d].tobytes(), size[d].astype(np.int32).tobytes(), count[a:b].astype(np.int32).tobytes(), _pack(h[cut[a] : cut[b]]), None))
+                        rows.append((s, -1, None, tag[d].tobytes(), None, _pack_counts(count[a:b]), _pack(h[cut[a] : cut[b]]), None))
                 # Who has which set: through one shard, on to the sets' homes.
                 rows.append((int(tag[some[0]] % np.uint64(shards)), -2, ids[run.first + some].astype(np.int64).tobytes(), tag[some].tobytes(), size[some].astype(np.int32).tobytes(), None, None, None))
                 yield _batch(rows)
@@ -141,12 +151,12 @@ def _living(shards: int):  # noqa: ANN202
         t = t.filter(pa.compute.equal(t.column("home"), -1))
         for shard in sorted(set(t.column("shard").to_pylist())):
             part = t.filter(pa.compute.equal(t.column("shard"), shard))
-            tags, ns, counts = _join(part.column("tags"), np.uint64), _join(part.column("ns"), np.int32), _join(part.column("counts"), np.int32).astype(np.int64)
+            tags, counts = _join(part.column("tags"), np.uint64), _counts(part.column("counts"), part.column("tags"))
             grams = _unpack(part.column("grams").to_pylist())
             del part
             tags, one = np.unique(tags, return_index=True)  # equal sets are one
             starts = (np.cumsum(counts) - counts)[one]
-            ns, counts = ns[one], counts[one]
+            counts = counts[one]
             grams = grams[ta.ragged(starts, counts)]
             order = np.argsort(grams)
             sizes = np.diff(ta.bounds(grams[order]))
@@ -167,7 +177,7 @@ def _living(shards: int):  # noqa: ANN202
                 o = order[ends[k] : ends[k + 1]]
                 if len(o):
                     at = ta.ragged(first[o], left[o])
-                    rows.append((shard, k, None, tags[o].tobytes(), ns[o].tobytes(), left[o].astype(np.int32).tobytes(), _pack(grams[at]), rank[at].tobytes()))
+                    rows.append((shard, k, None, tags[o].tobytes(), None, _pack_counts(left[o]), _pack(grams[at]), rank[at].tobytes()))
             if rows:
                 yield _batch(rows)
 
@@ -186,14 +196,15 @@ def _homes(threshold: float):  # noqa: ANN202
         owners = t.filter(pa.compute.equal(t.column("shard"), -1))
         docs, tags, ns = _join(owners.column("docs"), np.int64), _join(owners.column("tags"), np.int64), _join(owners.column("ns"), np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(tags), pa.array(ns), pa.array(docs), pa.nulls(len(tags), pa.binary())], names)
+        known, one = np.unique(tags.view(np.uint64), return_index=True)
+        size_of = ns[one].astype(np.int64)
         t = t.filter(pa.compute.greater_equal(t.column("shard"), 0))
         if not t.num_rows:
             return
-        tags, ns, counts = _join(t.column("tags"), np.uint64), _join(t.column("ns"), np.int32), _join(t.column("counts"), np.int32).astype(np.int64)
+        tags, counts = _join(t.column("tags"), np.uint64), _counts(t.column("counts"), t.column("tags"))
         shard = np.repeat(np.array(t.column("shard").to_pylist(), np.uint64), [len(x) // 8 for x in t.column("tags").to_pylist()])
         total, back = np.unique(tags, return_inverse=True)
-        alive, size = np.bincount(back, counts, len(total)), np.zeros(len(total), np.int64)
-        size[back] = ns
+        alive, size = np.bincount(back, counts, len(total)), size_of[np.searchsorted(known, total)]  # owners' rows are at home too
         enough = alive >= required(size, threshold)
         grams, rank = _unpack(t.column("grams").to_pylist()), _join(t.column("dfs"), np.uint8)
         del t
@@ -217,6 +228,8 @@ def _homes(threshold: float):  # noqa: ANN202
 
 
 def _prefixes(threshold: float):  # noqa: ANN202
+    """Rows (gram, tag, n, behind), with own if the sets have labels: the lists that each set posts, and how many of its own are behind each."""
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -227,7 +240,8 @@ def _prefixes(threshold: float):  # noqa: ANN202
             p = m - required(ns, threshold) + 1
             at = ta.ragged(np.cumsum(m) - m, p)
             behind = np.repeat(m, p) - (ta.ragged(np.zeros(len(p), np.int64), p)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(grams[at]), pa.array(np.repeat(tags, p)), pa.array(np.repeat(ns, p).astype(np.int32)), pa.array(behind.astype(np.int32))], ["gram", "tag", "n", "behind"])
+            own = [pa.array(np.repeat(c.to_numpy(), p)) for c in batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays([pa.array(grams[at]), pa.array(np.repeat(tags, p)), pa.array(np.repeat(ns, p).astype(np.int32)), pa.array(behind.astype(np.int32)), *own], ["gram", "tag", "n", "behind", "own"][: 4 + len(own)])
 
     return apply
 
@@ -444,7 +458,8 @@ def _searched(docs: DataFrame, n: int, threshold: float, id_col: str, text_col:
     # A label with very many sets is cut into parts; pairs of labels or parts are the blocks.
     part = F.when(F.col("k") == 1, F.col("label")).otherwise(F.xxhash64("label", F.pmod(F.hash("tag"), F.col("k"))))
     label = label.join(parts, "label").select("tag", part.alias("own"))
-    met = posted.join(label, "tag").repartition(shards, "gram").mapInArrow(_meetings(threshold), "lo long, hi long, tag long, own long").distinct()
+    again = sets.join(label, "tag").select("tag", "n", "grams", "own").mapInArrow(_prefixes(threshold), "gram long, tag long, n int, behind int, own long")
+    met = again.repartition(shards, "gram").mapInArrow(_meetings(threshold), "lo long, hi long, tag long, own long").distinct()
     copies = owners.groupBy("tag").agg(F.count("*").alias("copies"))
     blocks = met.join(sets.join(copies, "tag"), "tag").select("lo", "hi", "tag", "own", "n", "copies", "grams").repartition(shards, "lo", "hi").sortWithinPartitions("lo", "hi", "tag")
     out = store.written(blocks.mapInArrow(_verify(threshold, pairs), "a long, b long, na long, nb long, overlap long" if pairs else "a long, b long, links long"), "similar")
