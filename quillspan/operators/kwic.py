@@ -7,9 +7,9 @@ windows' text. Only then are they rows of their own.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import ir
@@ -29,7 +29,7 @@ def to_spans(corpus: Corpus, query: ir.Query, name: str, where: DataFrame | None
 
 
 def _located(corpus: Corpus, query: ir.Query, name: str, overlaps: bool, limit: int | None, where: DataFrame | None, columns: Sequence[str]) -> DataFrame:
-    """Rows (key, columns, __raw, __gaps, __sizes, __terms, __spans) of documents with spans."""
+    """Rows (key, columns, __raw, __gaps, __sizes, __terms, __spans) of documents with spans, which are of that row alone."""
     query, where = to_spans(corpus, query, name, where)
     query = ir.plain(query)
     kept = list(dict.fromkeys([corpus.key, *columns]))
@@ -42,15 +42,31 @@ def _located(corpus: Corpus, query: ir.Query, name: str, overlaps: bool, limit:
         rows = search._source(corpus, query, where).select(*kept, *parts)
         rows = rows.withColumn("__terms", F.transform("__raw", term))
         return rows.withColumn("__spans", inner).where(F.size("__spans") > 0)
-    found = search._spans(corpus, query, where)
+    found = search.located(corpus, query, where)
     if not alone:
         found = search.without_overlaps(found, corpus.key)
     if limit is not None:
-        found = found.orderBy(corpus.key, "s", "e").limit(limit)
-    found = found.groupBy(F.col(corpus.key).alias("__key")).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("__spans"))
-    rows = corpus.rows().join(found, F.col(corpus.key) == F.col("__key")).select(*kept, *parts, "__spans")
-    # A version of a document (see Corpus) has the spans that lie in it.
-    return rows.withColumn("__terms", F.transform("__raw", term)).withColumn("__spans", F.filter("__spans", lambda x: x.e <= F.size("__terms")))
+        found = found.orderBy(corpus.key, "s", "e", search.VERSION).limit(limit)
+    found = found.groupBy(F.col(corpus.key).alias("__key"), F.col(search.VERSION).alias("__of")).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("__spans"))
+    rows = corpus.rows().join(found, (F.col(corpus.key) == F.col("__key")) & (F.xxhash64(name) == F.col("__of"))).select(*kept, *parts, "__spans")
+    return rows.withColumn("__terms", F.transform("__raw", term))
+
+
+_PART = 128
+
+
+def _running(steps: str) -> Column:
+    """Sums of an array column's numbers up to each: of whole parts first, so that a long array takes little more than linear time."""
+    zero, add = F.lit(0).cast("long"), lambda a, n: a + n
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _PART).cast("int")), lambda p: F.slice(steps, p * _PART + 1, _PART))
+
+    def joined(done: Column, part: Column) -> Column:
+        before = F.coalesce(F.get(done, F.size(done) - 1).upto, zero)
+        return F.concat(done, F.array(F.struct(before.alias("before"), (before + F.aggregate(part, zero, add)).alias("upto"), part.alias("steps"))))
+
+    whole = F.aggregate(parts, F.array().cast("array<struct<before:bigint,upto:bigint,steps:array<bigint>>>"), joined)
+    # Nothing that takes time may be named within a function of an element, where it would be told anew for each.
+    return F.flatten(F.transform(whole, lambda p: F.transform(p.steps, lambda n, k: p.before + F.aggregate(F.slice(p.steps, 1, k + 1), zero, add))))
 
 
 def _range(low: Column, high: Column) -> Column:
@@ -64,7 +80,7 @@ def _text(raw: Column, gaps: Column, low: Column, high: Column) -> Column:
 
 
 def windows(
-    corpus: Corpus, query: ir.Query, name: str = "text", before: int = 10, after: int = 10, order: str = "PRE", limit: int | None = None,
+    corpus: Corpus, query: ir.Query, name: str = "text", before: int = 10, after: int = 10, order: str | Callable[[Column, Column, Column], Column] = "PRE", limit: int | None = None,
     overlaps: bool = False, where: DataFrame | None = None, metadata: Sequence[str] = (),
 ) -> DataFrame:
     """Rows (key, s, e, pre, target, post, sort_key, char_start, char_end, metadata), one for each span.
@@ -75,9 +91,12 @@ def windows(
     empty. limit keeps the first windows by key and position (None: all).
     Overlapping spans are thinned, longest first, unless overlaps. where: keys
     of the documents that count. Offsets count code points; over several values
-    they include the analyzer's offset gap.
+    they include the analyzer's offset gap. order may also be a function of the
+    terms before (nearest first), in and after the target, as arrays without
+    holes, that builds the sort key. Nothing is shuffled for spans that a row
+    tells itself.
     """
-    if before < 0 or after < 0 or order not in ORDERS:
+    if before < 0 or after < 0 or not (callable(order) or order in ORDERS):
         raise ValueError("a window has sizes of 0 at least and an order of " + ", ".join(ORDERS))
     rows = _located(corpus, query, name, overlaps, limit, where, metadata)
     raw, gaps, sizes, terms, found = (F.col(f"__{c}") for c in ("raw", "gaps", "sizes", "terms", "spans"))
@@ -89,23 +108,29 @@ def windows(
         last = F.element_at(F.concat(F.array(F.lit(None).cast("int")), F.filter(_range(e, F.least(e + after, F.size(terms)) - 1), seen)), -1)
         left = F.array_join(F.transform(_range(first, s - 1), lambda i: F.concat(F.coalesce(F.get(raw, i), F.lit("")), F.get(gaps, i + 1))), "")
         right = F.array_join(F.transform(_range(e, last), lambda i: F.concat(F.get(gaps, i), F.coalesce(F.get(raw, i), F.lit("")))), "")
-        was = F.when(k > 0, F.get(found, k - 1).s).otherwise(F.lit(-1))
-        step = F.aggregate(_range(was + 1, s), F.lit(0).cast("long"), lambda n, i: n + F.get(sizes, i) + F.coalesce(F.length(F.get(raw, i - 1)), F.lit(0)))
+        begins = F.get(F.col("__begins"), k)
         inside = F.aggregate(_range(s, e - 1), F.lit(0).cast("long"), lambda n, i: n + F.length(F.coalesce(F.get(raw, i), F.lit(""))) + F.when(i > s, F.get(sizes, i)).otherwise(0))
         words = lambda low, high: F.filter(F.transform(_range(low, high), lambda i: F.get(terms, i)), lambda t: t.isNotNull())
         backwards = F.reverse(words(F.greatest(s - before, F.lit(0)), s - 1))
         forwards = words(e, F.least(e + after, F.size(terms)) - 1)
-        parts = {"PRE": [backwards], "POST": [forwards], "TARGET_PRE": [words(s, e - 1), backwards], "TARGET_POST": [words(s, e - 1), forwards]}.get(order)
-        key = F.trim(F.array_join(F.concat(*parts), " ")) if parts else F.lit("")
+        if callable(order):
+            key = order(backwards, words(s, e - 1), forwards)
+        else:
+            parts = {"PRE": [backwards], "POST": [forwards], "TARGET_PRE": [words(s, e - 1), backwards], "TARGET_POST": [words(s, e - 1), forwards]}.get(order)
+            key = F.trim(F.array_join(F.concat(*parts), " ")) if parts else F.lit("")
         return F.struct(
             s.alias("s"), e.alias("e"), F.when(F.length(left) > 0, left.substr(F.lit(1), F.length(left) - 1)).otherwise(F.lit("")).alias("pre"), _text(raw, gaps, s, e - 1).alias("target"),
-            F.coalesce(right, F.lit("")).alias("post"), key.alias("sort_key"), step.alias("step"), inside.alias("inside"),
+            F.coalesce(right, F.lit("")).alias("post"), key.alias("sort_key"), begins.alias("char_start"), (begins + inside).alias("char_end"),
         )
 
+    def step(x: Column, k: Column) -> Column:
+        """Characters from the span before, or the text's begin, to this one."""
+        was = F.when(k > 0, F.get(found, k - 1).s).otherwise(F.lit(-1))
+        return F.aggregate(_range(was + 1, x.s), F.lit(0).cast("long"), lambda n, i: n + F.get(sizes, i) + F.coalesce(F.length(F.get(raw, i - 1)), F.lit(0)))
+
     kept = [F.col(m) for m in dict.fromkeys([corpus.key, *metadata])]
+    rows = rows.withColumn("__steps", F.transform(found, step)).withColumn("__begins", _running("__steps"))
     rows = rows.select(*kept, F.inline(F.transform(found, cut)))
-    w = Window.partitionBy(corpus.key).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("char_start", F.sum("step").over(w)).withColumn("char_end", F.col("char_start") + F.col("inside"))
     if order == "DOC":
         rows = rows.withColumn("sort_key", F.col(corpus.key).cast("string"))
     about = F.create_map(*[x for m in metadata for x in (F.lit(m), F.col(m).cast("string"))]) if metadata else F.create_map().cast("map<string,string>")
@@ -117,16 +142,22 @@ def ordered(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.orderBy("sort_key", key, "char_start") if "char_start" in found.columns else found.orderBy("sort_key")
 
 
-def deduplicated(found: DataFrame, key: str = "doc_id", limit: int | None = None) -> DataFrame:
-    """One window of those whose pre, target and post agree but for case: the first by key and position, with their number as count; limit counts distinct ones."""
+def same_words(w: Callable[[str], Column]) -> list[Column]:
+    """What windows agree in that are one: pre, target and post but for case."""
+    return [F.lower(w(c)) for c in ("pre", "target", "post")]
+
+
+def deduplicated(found: DataFrame, key: str = "doc_id", limit: int | None = None, same: Callable[[Callable[[str], Column]], list[Column]] = same_words) -> DataFrame:
+    """One window of those that agree in same: the first by key and position, with their number (or the sum of their counts) as count; limit counts distinct ones."""
     at = F.struct(key, "s", "e")
-    rest = [c for c in found.columns if c not in (key, "s", "e")]
-    out = found.groupBy(F.lower("pre").alias("__a"), F.lower("target").alias("__b"), F.lower("post").alias("__c")).agg(F.min_by(F.struct(key, "s", "e", *rest), at).alias("w"), F.count("*").alias("count")).select("w.*", "count")
+    rest = [c for c in found.columns if c not in (key, "s", "e", "count")]
+    many = F.sum("count") if "count" in found.columns else F.count("*")
+    out = found.groupBy(*[c.alias(f"__{k}") for k, c in enumerate(same(F.col))]).agg(F.min_by(F.struct(key, "s", "e", *rest), at).alias("w"), many.alias("count")).select("w.*", "count")
     return out if limit is None else out.orderBy(key, "s", "e").limit(limit)
 
 
 def totals(found: DataFrame, corpus: Corpus) -> DataFrame:
-    """One row (n_docs, n_windows, total_docs)."""
+    """One row (n_docs, n_windows, total_docs); n_docs counts keys."""
     return found.agg(F.countDistinct(corpus.key).alias("n_docs"), F.count("*").alias("n_windows")).crossJoin(corpus.rows().agg(F.count("*").alias("total_docs")))
 
 
@@ -135,13 +166,22 @@ def hit_limit(corpus: Corpus, query: ir.Query, limit: int) -> bool:
     return search.spans(corpus, query).limit(limit + 1).count() > limit
 
 
-def merged(shards: Sequence[DataFrame], key: str = "doc_id", limit: int | None = None) -> DataFrame:
-    """Windows of several corpora as those of one, in order."""
+def merged(shards: Sequence[DataFrame], key: str = "doc_id", limit: int | None = None, dedup: bool = False) -> DataFrame:
+    """Windows of several corpora as those of one, in order, with hit_max: whether there are limit or more. dedup: windows that agree are one, and their counts are summed."""
     out = shards[0]
     for s in shards[1:]:
         out = out.unionByName(s)
-    out = ordered(out, key)
-    return out if limit is None else out.limit(limit)
+    if dedup:
+        out = deduplicated(out, key)
+    if limit is None:
+        return ordered(out.withColumn("hit_max", F.lit(False)), key)
+    some = out.limit(limit).agg(F.count("*").alias("__n"))
+    return ordered(out.crossJoin(F.broadcast(some.select((F.col("__n") >= limit).alias("hit_max")))), key).limit(limit)
+
+
+def visited(found: DataFrame, *results: Column, by: Sequence[str | Column] = ()) -> DataFrame:
+    """What a visitor of windows gathers: aggregates over them all, or for each value of by, with n_windows."""
+    return found.groupBy(*by).agg(F.count("*").alias("n_windows"), *results)
 
 
 def term_windows(corpus: Corpus, query: ir.Query, name: str = "text", before: int = 10, after: int = 10, overlaps: bool = False, limit: int | None = None, where: DataFrame | None = None) -> DataFrame:
@@ -158,3 +198,11 @@ def term_windows(corpus: Corpus, query: ir.Query, name: str = "text", before: in
         )
 
     return rows.select(corpus.key, F.inline(F.transform(found, cut)))
+
+
+def targets(corpus: Corpus, query: ir.Query, name: str = "text", where: DataFrame | None = None) -> DataFrame:
+    """Rows (key, targets), one for each document with spans: the terms of each."""
+    rows = _located(corpus, query, name, False, None, where, ())
+    terms = F.col("__terms")
+    shown = lambda i: F.when(F.get(F.col("__raw"), i).isNull(), F.lit("")).otherwise(F.get(terms, i))
+    return rows.select(corpus.key, F.transform("__spans", lambda x: F.transform(_range(x.s, x.e - 1), shown)).alias("targets"))

@@ -22,14 +22,16 @@ from ..plans.parser import FieldType, Options, Parser, QueryError
 
 JOINER = " | "
 SPAN = "array<struct<s:int,e:int>>"
+VERSION = "__version"
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """Documents with one row for each key; a text field is a string or an array of strings.
+    """Documents, a row each; a text field is a string or an array of strings.
 
-    Rows with a null key are left out. Rows that repeat a key are versions of
-    one document: it has the matches of them all.
+    Rows with a null key are left out. Rows that repeat a key are documents of
+    their own that share a name: spans and windows are of one row, and counts of
+    documents are of rows. What is told by key names each once.
     """
 
     docs: DataFrame
@@ -46,6 +48,10 @@ class Corpus:
     def rows(self) -> DataFrame:
         return self.docs.where(F.col(self.key).isNotNull())
 
+    def version(self, name: str) -> Column:
+        """Tells apart rows that repeat a key: a hash of the field, as rows with the same text have the same spans."""
+        return F.xxhash64(name).alias(VERSION)
+
     def many(self, name: str) -> bool:
         return dict(self.docs.dtypes)[name].startswith("array")
 
@@ -100,14 +106,34 @@ class Corpus:
         return F.transform(self.raw(name), a.term) if a.lowercase or a.fold or a.replacements or a.stops else self.raw(name)
 
 
+def synonyms_of(corpus: Corpus, name: str, term: Column) -> Column:
+    """The terms at a position: its own and its synonyms."""
+    known = corpus.type_of(name).analyzer.synonyms
+    return reduce(lambda c, t: c.when(term == t, F.array(term, *map(F.lit, known[t]))), known, F.when(F.lit(False), F.array(term))).otherwise(F.array(term))
+
+
+def stacked(corpus: Corpus, name: str, terms: Column) -> Column:
+    """Terms with their synonyms, in one array."""
+    return F.flatten(F.transform(terms, lambda t: synonyms_of(corpus, name, t))) if corpus.type_of(name).analyzer.synonyms else terms
+
+
 def tokens(corpus: Corpus, name: str) -> DataFrame:
     """Rows (key, pos, term), one for each term of each document, synonyms too; no shuffle."""
     rows = corpus.rows().select(corpus.key, F.posexplode(corpus.terms(name)).alias("pos", "term")).where("term is not null")
-    synonyms = corpus.type_of(name).analyzer.synonyms
-    if not synonyms:
+    if not corpus.type_of(name).analyzer.synonyms:
         return rows
-    table = reduce(lambda c, t: c.when(F.col("term") == t, F.array(F.col("term"), *map(F.lit, synonyms[t]))), synonyms, F.when(F.lit(False), F.array("term"))).otherwise(F.array("term"))
-    return rows.select(corpus.key, "pos", F.explode(table).alias("term"))
+    return rows.select(corpus.key, "pos", F.explode(synonyms_of(corpus, name, F.col("term"))).alias("term"))
+
+
+def bigrams(terms: str, unigrams: bool = True, joiner: str = "_") -> Column:
+    """Neighbours in an array column of terms joined, as an array of (pos, term): each at its first term's position, behind that term itself if unigrams. Holes join with nothing."""
+
+    def of(t: Column, i: Column) -> Column:
+        following = F.get(F.col(terms), i + 1)
+        pair = F.struct(i.alias("pos"), F.when(t.isNotNull() & following.isNotNull(), F.concat(t, F.lit(joiner), following)).alias("term"))
+        return F.array(F.struct(i.alias("pos"), t.alias("term")), pair) if unigrams else F.array(pair)
+
+    return F.filter(F.flatten(F.transform(F.col(terms), of)), lambda x: x.term.isNotNull())
 
 
 # Leaves
@@ -165,6 +191,18 @@ def predicate(leaf: ir.Leaf, t: Column) -> Column:
     raise TypeError(leaf)
 
 
+def expanded(corpus: Corpus, query: ir.Query, most: int) -> ir.Query:
+    """query with each leaf that stands for many terms as its most frequent ones, by documents, then term: at most so many."""
+    from .stats import vocabulary
+
+    def some(leaf: ir.Leaf) -> ir.Query:
+        rows = vocabulary(corpus, leaf.field).where(predicate(leaf, F.col("term"))).orderBy(F.col("df").desc(), "term").limit(most).collect()
+        return ir.any_of([ir.TermIs(leaf.field, r.term) for r in rows])
+
+    known: dict[ir.Leaf, ir.Query] = {x: x if isinstance(x, ir.TermIs) else some(x) for x in ir.leaves(query)}
+    return ir.replaced(query, known)
+
+
 def at_token(corpus: Corpus, query: ir.Query) -> Callable[[Column], Column] | None:
     """A condition on the term of one position; None if the query is more than terms and alternatives."""
     match query:
@@ -249,9 +287,13 @@ def needed(corpus: Corpus, query: ir.Query) -> Column:
 
 
 def spans(corpus: Corpus, query: ir.Query, where: DataFrame | None = None) -> DataFrame:
-    """Distinct rows (key, s, e): the spans of tokens s..e that match. where: keys of the documents that count."""
-    query = ir.plain(query)
-    return _spans(corpus, query, None if where is None else where.select(corpus.key))
+    """Rows (key, s, e), distinct for each row of the corpus: the spans of tokens s..e that match. where: keys of the documents that count."""
+    return located(corpus, query, where).select(corpus.key, "s", "e")
+
+
+def located(corpus: Corpus, query: ir.Query, where: DataFrame | None = None) -> DataFrame:
+    """Rows (key, VERSION, s, e) of spans(); rows that agree in key and text count once if their spans take a join."""
+    return _spans(corpus, ir.plain(query), None if where is None else where.select(corpus.key))
 
 
 def _source(corpus: Corpus, query: ir.Query, where: DataFrame | None) -> DataFrame:
@@ -265,27 +307,27 @@ def _tagged(corpus: Corpus, parts: list[ir.Query], where: DataFrame | None, all_
     terms = F.col("__terms")
     inner = [row_spans(corpus, p, terms) for p in parts]
     if all(x is not None for x in inner):
-        rows = _source(corpus, ir.NearBy(tuple(parts), 0, True) if all_needed else parts[0], where).select(corpus.key, corpus.terms(name).alias("__terms"))
-        rows = rows.select(corpus.key, *[x.alias(f"__{k}") for k, x in enumerate(inner)])
+        rows = _source(corpus, ir.NearBy(tuple(parts), 0, True) if all_needed else parts[0], where).select(corpus.key, corpus.version(name), corpus.terms(name).alias("__terms"))
+        rows = rows.select(corpus.key, VERSION, *[x.alias(f"__{k}") for k, x in enumerate(inner)])
         for k in range(len(parts) if all_needed else 1):
             rows = rows.where(F.size(f"__{k}") > 0)
         tag = lambda k: lambda x: F.struct(F.lit(k).alias("k"), x.s.alias("s"), x.e.alias("e"))
-        return rows.select(corpus.key, F.inline(F.concat(*[F.transform(f"__{k}", tag(k)) for k in range(len(parts))])))
-    tables = [_spans(corpus, p, where).select(corpus.key, F.lit(k).alias("k"), "s", "e") for k, p in enumerate(parts)]
+        return rows.select(corpus.key, VERSION, F.inline(F.concat(*[F.transform(f"__{k}", tag(k)) for k in range(len(parts))])))
+    tables = [_spans(corpus, p, where).select(corpus.key, VERSION, F.lit(k).alias("k"), "s", "e") for k, p in enumerate(parts)]
     return reduce(DataFrame.unionByName, tables)
 
 
 def _spans(corpus: Corpus, query: ir.Query, where: DataFrame | None) -> DataFrame:
     name = field_of(query)
     if not name:
-        return corpus.rows().where(F.lit(False)).select(corpus.key, F.lit(0).alias("s"), F.lit(0).alias("e"))
+        return corpus.rows().where(F.lit(False)).select(corpus.key, F.lit(0).cast("long").alias(VERSION), F.lit(0).alias("s"), F.lit(0).alias("e"))
     inner = row_spans(corpus, query, F.col("__terms"))
     if inner is not None:
-        rows = _source(corpus, query, where).select(corpus.key, corpus.terms(name).alias("__terms"))
-        return rows.select(corpus.key, F.inline(inner))
+        rows = _source(corpus, query, where).select(corpus.key, corpus.version(name), corpus.terms(name).alias("__terms"))
+        return rows.select(corpus.key, VERSION, F.inline(inner))
     match query:
         case ir.AnyOf(children):
-            return _tagged(corpus, list(children), where, False).select(corpus.key, "s", "e").distinct()
+            return _tagged(corpus, list(children), where, False).select(corpus.key, VERSION, "s", "e").distinct()
         case ir.Within(child, low, high):
             out = _spans(corpus, child, where)
             out = out if low is None else out.where(F.col("s") >= low)
@@ -299,19 +341,19 @@ def _spans(corpus: Corpus, query: ir.Query, where: DataFrame | None) -> DataFram
 
 def _ordered(corpus: Corpus, parts: list[ir.Query], slop: int, where: DataFrame | None) -> DataFrame:
     """From the last part back, each span learns of the chain that begins with the nearest span of the next part."""
-    rows = _tagged(corpus, parts, where, True).select(corpus.key, "k", "s", "e", F.col("e").alias("last"), F.lit(0).cast("long").alias("gaps"))
+    rows = _tagged(corpus, parts, where, True).select(corpus.key, VERSION, "k", "s", "e", F.col("e").alias("last"), F.lit(0).cast("long").alias("gaps"))
     for k in range(len(parts) - 2, -1, -1):
         target = F.col("k") == k + 1
         order = [F.when(target, F.col("s")).otherwise(F.col("e")).desc(), target.desc(), F.col("e").desc()]
-        w = Window.partitionBy(corpus.key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        w = Window.partitionBy(corpus.key, VERSION).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         following = F.last(F.when(target, F.struct("s", "last", "gaps")), ignorenulls=True).over(w)
         rows = rows.where(F.col("k") <= k + 1).withColumn("__next", following).where((F.col("k") < k) | ((F.col("k") == k) & F.col("__next").isNotNull()))
         mine = F.col("k") == k
         rows = rows.select(
-            corpus.key, "k", "s", "e", F.when(mine, F.col("__next.last")).otherwise(F.col("last")).alias("last"),
+            corpus.key, VERSION, "k", "s", "e", F.when(mine, F.col("__next.last")).otherwise(F.col("last")).alias("last"),
             F.when(mine, F.col("__next.gaps") + F.col("__next.s") - F.col("e")).otherwise(F.col("gaps")).alias("gaps"),
         ).where((F.col("k") != k) | (F.col("gaps") <= slop))
-    return rows.select(corpus.key, "s", F.col("last").alias("e")).distinct()
+    return rows.select(corpus.key, VERSION, "s", F.col("last").alias("e")).distinct()
 
 
 def _unordered(corpus: Corpus, parts: list[ir.Query], slop: int, where: DataFrame | None) -> DataFrame:
@@ -320,16 +362,16 @@ def _unordered(corpus: Corpus, parts: list[ir.Query], slop: int, where: DataFram
     times = [parts.count(p) for p in kinds]
     rows = _tagged(corpus, kinds, where, True)
     if max(times) > 1:
-        rows = rows.groupBy(corpus.key, "k", "s").agg(F.min("e").alias("e"))
-        w = Window.partitionBy(corpus.key, "k").orderBy("s")
+        rows = rows.groupBy(corpus.key, VERSION, "k", "s").agg(F.min("e").alias("e"))
+        w = Window.partitionBy(corpus.key, VERSION, "k").orderBy("s")
         runs = F.array(F.struct("s", "e"), *[F.struct(F.lead("s", n).over(w).alias("s"), F.lead("e", n).over(w).alias("e")) for n in range(1, max(times))])
     else:
         runs = F.array(F.struct("s", "e"))
     rows = rows.withColumn("run", runs)
     # Frames by value: what begins after s is at s + 1 at least.
-    w = Window.partitionBy(corpus.key).orderBy(F.col("s").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(corpus.key, VERSION).orderBy(F.col("s").desc()).rangeBetween(Window.unboundedPreceding, -1)
     after = [F.last(F.when(F.col("k") == k, F.col("run")), ignorenulls=True).over(w).alias(f"__{k}") for k in range(len(kinds))]
-    rows = rows.select(corpus.key, "k", "s", "e", *after)
+    rows = rows.select(corpus.key, VERSION, "k", "s", "e", *after)
     out = []
     for k in range(len(kinds)):
         own = rows.where(F.col("k") == k)
@@ -338,7 +380,7 @@ def _unordered(corpus: Corpus, parts: list[ir.Query], slop: int, where: DataFram
             own = own.where(p.s.isNotNull())
         far = F.greatest(F.col("e"), *[p.e for p in picks]) if picks else F.col("e")
         used = reduce(lambda a, b: a + b, [p.e - p.s for p in picks], F.col("e") - F.col("s"))
-        out.append(own.where(far - F.col("s") - used <= slop).select(corpus.key, "s", far.alias("e")))
+        out.append(own.where(far - F.col("s") - used <= slop).select(corpus.key, VERSION, "s", far.alias("e")))
     return reduce(DataFrame.unionByName, out).distinct()
 
 
@@ -346,14 +388,15 @@ def _not_near(corpus: Corpus, include: ir.Query, exclude: ir.Query, pre: int, po
     """Spans of include that no span of exclude touches from pre before to post after; a running maximum of ends tells."""
     rows = _tagged(corpus, [include, exclude], where, False)
     mine = F.col("k") == 0
-    w = Window.partitionBy(corpus.key).orderBy(F.when(mine, F.col("e").cast("long") + post).otherwise(F.col("s")), F.col("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(corpus.key, VERSION).orderBy(F.when(mine, F.col("e").cast("long") + post).otherwise(F.col("s")), F.col("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reach = F.max(F.when(~mine, F.col("e"))).over(w)
-    return rows.withColumn("__reach", reach).where(mine & (F.col("__reach").isNull() | (F.col("__reach") <= F.col("s").cast("long") - pre))).select(corpus.key, "s", "e").distinct()
+    return rows.withColumn("__reach", reach).where(mine & (F.col("__reach").isNull() | (F.col("__reach") <= F.col("s").cast("long") - pre))).select(corpus.key, VERSION, "s", "e").distinct()
 
 
 def without_overlaps(found: DataFrame, key: str) -> DataFrame:
     """Of each document's spans the longest, then the first, that no token of a chosen one touches; a span that ends where a chosen one begins is dropped too."""
-    schema = found.select(key, "s", "e").schema
+    names = [key, VERSION] if VERSION in found.columns else [key]
+    found = found.select(*names, "s", "e")
 
     def choose(pdf):  # noqa: ANN001, ANN202
         taken: set[int] = set()
@@ -365,7 +408,7 @@ def without_overlaps(found: DataFrame, key: str) -> DataFrame:
                 kept.append(i)
         return pdf.loc[kept]
 
-    return found.select(key, "s", "e").groupBy(key).applyInPandas(choose, schema)
+    return found.groupBy(*names).applyInPandas(choose, found.schema)
 
 
 def single_tokens(corpus: Corpus, query: ir.Query) -> bool:
@@ -416,19 +459,45 @@ def matching(corpus: Corpus, query: ir.Query) -> DataFrame:
             return F.size(inner) > 0
         if q not in hard:
             hard.append(q)
-        return F.coalesce(F.array_contains("__hits", hard.index(q)), F.lit(False))
+        return F.coalesce(F.array_contains(f"__hits_{field_of(q)}", hard.index(q)), F.lit(False))
 
     condition = test(query)
     rows = corpus.rows().where(needed(corpus, query))
     if hard:
-        hits = [spans(corpus, q).select(F.col(corpus.key).alias("__key"), F.lit(k).alias("__hit")) for k, q in enumerate(hard)]
-        hits = reduce(DataFrame.unionByName, hits).groupBy("__key").agg(F.collect_set("__hit").alias("__hits"))
-        rows = rows.join(hits, F.col(corpus.key) == F.col("__key"), "left")
+        of = {k: field_of(q) for k, q in enumerate(hard)}
+        hits = [located(corpus, q).select(F.col(corpus.key).alias("__key"), F.col(VERSION).alias("__of"), F.lit(k).alias("__hit")).distinct() for k, q in enumerate(hard)]
+        for name in sorted(set(of.values())):
+            mine = reduce(DataFrame.unionByName, [h for k, h in enumerate(hits) if of[k] == name])
+            mine = mine.groupBy("__key", "__of").agg(F.collect_set("__hit").alias(f"__hits_{name}"))
+            rows = rows.join(mine, (F.col(corpus.key) == F.col("__key")) & (F.xxhash64(name) == F.col("__of")), "left").drop("__key", "__of")
     for name in names:
         rows = rows.withColumn(f"__terms_{name}", corpus.terms(name))
     return rows.where(condition).select(*corpus.docs.columns)
 
 
+def row_test(corpus: Corpus, query: ir.Query) -> Column | None:
+    """Whether a row matches, told from itself; None if that takes a join."""
+    query = ir.plain(query)
+    if isinstance(query, ir.AllDocs):
+        return F.lit(True)
+    if isinstance(query, ir.AnyOf) or isinstance(query, ir.Leaf):
+        one = at_token(corpus, query)
+        return None if one is None else F.coalesce(F.exists(corpus.terms(field_of(query)), one), F.lit(False))
+    if isinstance(query, ir.Bool):
+        tests = [(c.occur, row_test(corpus, c.query)) for c in query.clauses]
+        if any(t is None for _, t in tests):
+            return None
+        must, should = [t for o, t in tests if o == "must"], [t for o, t in tests if o == "should"]
+        if not must and not should:
+            return F.lit(False)
+        out = reduce(lambda a, b: a & b, must, F.lit(True))
+        most = query.least if query.least else 0 if must else 1
+        if most:
+            out &= reduce(lambda a, b: a + b, [x.cast("int") for x in should], F.lit(0)) >= most
+        return reduce(lambda a, b: a & ~b, [t for o, t in tests if o == "not"], out)
+    return None
+
+
 def typed(corpus: Corpus, q: ir.Typed) -> Column:
     kind = corpus.type_of(q.field).kind
     column = F.col(q.field)
@@ -452,7 +521,7 @@ def all_of(corpus: Corpus, *queries: ir.Query) -> DataFrame:
 
 
 def doc_count(corpus: Corpus, query: ir.Query) -> DataFrame:
-    return documents(corpus, query).agg(F.countDistinct(corpus.key).alias("n_docs"))
+    return matching(corpus, query).agg(F.count("*").alias("n_docs"))
 
 
 def facets(corpus: Corpus, query: ir.Query, name: str) -> DataFrame:

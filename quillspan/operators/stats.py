@@ -5,7 +5,7 @@ documents with the corpus. Each is one or two aggregations with partial sums.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +18,8 @@ UNSEEN_DF = 2
 
 
 def vocabulary(corpus: Corpus, name: str = "text") -> DataFrame:
-    """Rows (term, df, tf): one shuffle of terms summed before it; documents are counted within their rows."""
-    terms = corpus.rows().select(F.filter(corpus.terms(name), lambda t: t.isNotNull() & (t != "")).alias("t"))
-    if corpus.type_of(name).analyzer.synonyms:
-        terms = search.tokens(corpus, name).groupBy(corpus.key).agg(F.collect_list("term").alias("t"))
+    """Rows (term, df, tf): one shuffle of terms summed before it; documents (rows) are counted within themselves."""
+    terms = corpus.rows().select(F.filter(search.stacked(corpus, name, corpus.terms(name)), lambda t: t.isNotNull() & (t != "")).alias("t"))
     marked = lambda a, d: F.transform(a, lambda t: F.struct(t.alias("term"), F.lit(d).cast("long").alias("d")))
     rows = terms.select(F.inline(F.concat(marked("t", 0), marked(F.array_distinct("t"), 1))))
     return rows.groupBy("term").agg(F.sum("d").alias("df"), F.sum(1 - F.col("d")).alias("tf"))
@@ -130,27 +128,30 @@ def _bounds(low: int, high: int) -> tuple[int, int]:
 
 
 def cooccurrences(
-    corpus: Corpus, query: ir.Query, name: str = "text", before: int = 10, after: int = 10, low: int = 1, high: int = 1, kind: str = "ngram", min_tf: int = 5, n: int | None = 20,
-    dedup: bool = False, limit: int | None = None, reject_idf: float | None = None, across: bool = False, where: DataFrame | None = None,
+    corpus: Corpus, query: ir.Query, name: str = "text", before: int = 10, after: int = 10, low: int = 1, high: int = 1, kind: str | Callable[[Column], Column] = "ngram", min_tf: int = 5, n: int | None = 20,
+    dedup: bool = False, limit: int | None = None, reject_idf: float | None = None, across: bool = False, where: DataFrame | None = None, accept: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Rows (term, tf, df, idf, tfidf) of the grams before and after a query's spans, by tfidf, then term.
 
-    kind: ngram or wgram. No gram spans the target. idf is the sum over the
+    kind: ngram or wgram, or a function from an array of terms to one of grams. No gram spans the target. idf is the sum over the
     gram's words, df an estimate from it. dedup counts windows with the same pre
     and post once. reject_idf: terms of an idf up to it neither begin nor end a
-    w-gram nor count in one. limit: of windows, the first by key and position.
+    w-gram nor count in one; so are those that accept, a condition on a term,
+    refuses. limit: of windows, the first by key and position.
     """
     found = kwic.term_windows(corpus, query, name, before, after, limit=limit, where=where)
     if dedup:
         found = found.dropDuplicates(["pre", "post"])
     voc = vocabulary(corpus, name)
     total = doc_total(corpus)
-    if kind == "wgram" and reject_idf is not None:
+    if callable(kind):
+        grams_of = lambda side: kind(F.col(side))
+    elif kind == "wgram" and reject_idf is not None:
         found = _rejecting(found, voc, total, reject_idf, corpus.key)
         plain = lambda g: F.regexp_replace(g, "⁣", "")
-        grams_of = lambda side: F.transform(_wgrams_marked(F.col(side), low, high, across), plain)
+        grams_of = lambda side: F.transform(_wgrams_marked(F.col(side), low, high, across, accept), plain)
     elif kind == "wgram":
-        grams_of = lambda side: wgrams(F.col(side), low, high, across=across)
+        grams_of = lambda side: wgrams(F.col(side), low, high, **({"accept": accept} if accept else {}), across=across)
     else:
         grams_of = lambda side: ngrams(F.col(side), low, high)
     tf = found.select(F.explode(F.concat(grams_of("pre"), grams_of("post"))).alias("term")).groupBy("term").agg(F.count("*").alias("tf")).where(F.col("tf") >= min_tf)
@@ -160,8 +161,8 @@ def cooccurrences(
 _REJECTED = "⁣"  # invisible; no tokenizer makes it part of a term
 
 
-def _wgrams_marked(terms: Column, low: int, high: int, across: bool) -> Column:
-    return wgrams(terms, low, high, lambda t: ~t.startswith(_REJECTED), across)
+def _wgrams_marked(terms: Column, low: int, high: int, across: bool, accept: Callable[[Column], Column] | None = None) -> Column:
+    return wgrams(terms, low, high, lambda t: ~t.startswith(_REJECTED) & (accept(t) if accept else F.lit(True)), across)
 
 
 def _rejecting(found: DataFrame, voc: DataFrame, total: DataFrame, reject_idf: float, key: str) -> DataFrame:
@@ -199,8 +200,10 @@ def merged_cooccurrences(shards: Sequence[DataFrame], docs: Sequence[int], n: in
 
 def target_counts(corpus: Corpus, query: ir.Query, name: str = "text", n: int | None = 20, where: DataFrame | None = None) -> DataFrame:
     """Rows (target, df, tf) of what the query's spans read, by df, tf and target."""
-    found = kwic.term_windows(corpus, query, name, 0, 0, where=where).select(corpus.key, _shown(F.col("target")).alias("target"))
-    out = found.groupBy("target").agg(F.countDistinct(corpus.key).alias("df"), F.count("*").alias("tf"))
+    rows = kwic.targets(corpus, query, name, where).select(F.transform("targets", _shown).alias("t"))
+    marked = lambda a, d: F.transform(a, lambda t: F.struct(t.alias("target"), F.lit(d).cast("long").alias("d")))
+    rows = rows.select(F.inline(F.concat(marked("t", 0), marked(F.array_distinct("t"), 1))))
+    out = rows.groupBy("target").agg(F.sum("d").alias("df"), F.sum(1 - F.col("d")).alias("tf"))
     return out if n is None else out.orderBy(F.col("df").desc(), F.col("tf").desc(), "target").limit(n)
 
 
@@ -221,13 +224,20 @@ def contrast(corpus: Corpus, query: ir.Query, name: str = "text", max_docs: int
 
     max_docs takes the first by key (there is no score).
     """
-    hits = search.matching(corpus, query).select(corpus.key, name)
-    if max_docs is not None:
-        hits = hits.orderBy(corpus.key).limit(max_docs)
-    some = Corpus(hits, corpus.key, corpus.fields, corpus.options)
-    terms = vocabulary(some, name).select("term", F.col("df").alias("tf"))
-    enough = hits.agg(F.count("*").alias("__hits")).where(F.col("__hits") >= min_docs)
-    terms = terms.crossJoin(F.broadcast(enough)).drop("__hits")
-    out = terms.join(vocabulary(corpus, name).select("term", "df"), "term").crossJoin(F.broadcast(doc_total(corpus)))
+    if max_docs is None and (test := search.row_test(corpus, query)) is not None:
+        # One pass: each document's terms, marked if it matches.
+        rows = corpus.rows().select(search.stacked(corpus, name, corpus.terms(name)).alias("__t"), test.alias("__hit"))
+        counts = rows.agg(F.count("*").alias("docs"), F.sum(F.col("__hit").cast("long")).alias("__hits")).where(F.col("__hits") >= min_docs)
+        one = rows.select("__hit", F.explode(F.array_distinct(F.filter("__t", lambda t: t.isNotNull() & (t != "")))).alias("term"))
+        out = one.groupBy("term").agg(F.sum(F.col("__hit").cast("long")).alias("tf"), F.count("*").alias("df")).where("tf > 0").crossJoin(F.broadcast(counts))
+    else:
+        hits = search.matching(corpus, query).select(corpus.key, name)
+        if max_docs is not None:
+            hits = hits.orderBy(corpus.key).limit(max_docs)
+        some = Corpus(hits, corpus.key, corpus.fields, corpus.options)
+        terms = vocabulary(some, name).select("term", F.col("df").alias("tf"))
+        enough = hits.agg(F.count("*").alias("__hits")).where(F.col("__hits") >= min_docs)
+        terms = terms.crossJoin(F.broadcast(enough)).drop("__hits")
+        out = terms.join(vocabulary(corpus, name).select("term", "df"), "term").crossJoin(F.broadcast(doc_total(corpus)))
     out = out.select("term", "tf", "df", idf(F.col("df"), F.col("docs")).alias("idf")).withColumn("tfidf", F.col("tf") * F.col("idf"))
     return out if n is None else out.orderBy(F.col("tfidf").desc(), "term").limit(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 
@@ -169,33 +170,44 @@ def leaves(query: Query) -> list[Leaf]:
     return list(out)
 
 
-def as_spans(query: Query, field: str) -> Query:
+class UnknownQuery(ValueError):
+    pass
+
+
+def refuse(query: Query, field: str) -> Query:
+    raise UnknownQuery(f"{type(query).__name__} can't be told as spans of {field}")
+
+
+def as_spans(query: Query, field: str, unknown: Callable[[Query, str], Query] = refuse) -> Query:
     """A query over documents as one over spans of a field.
 
     Clauses that are not prohibited and concern the field become alternatives;
-    match-all and what concerns other fields become nothing.
+    match-all and what concerns other fields become nothing. What is of a kind
+    of its own is unknown's to tell.
     """
     match query:
+        case AllDocs() | Typed():
+            return NOTHING
         case Leaf():
             return query if query.field == field else NOTHING
         case Bool(clauses, _):
-            parts = [as_spans(c.query, field) for c in clauses if c.occur != "not"]
+            parts = [as_spans(c.query, field, unknown) for c in clauses if c.occur != "not"]
             return any_of(parts)
         case AnyOf(children):
-            return any_of([as_spans(c, field) for c in children])
+            return any_of([as_spans(c, field, unknown) for c in children])
         case NearBy(children, slop, ordered):
-            parts = tuple(as_spans(c, field) for c in children)
+            parts = tuple(as_spans(c, field, unknown) for c in children)
             return NOTHING if any(empty(p) for p in parts) else NearBy(parts, slop, ordered)
         case NotNearBy(a, b, pre, post):
-            a, b = as_spans(a, field), as_spans(b, field)
+            a, b = as_spans(a, field, unknown), as_spans(b, field, unknown)
             return a if empty(a) or empty(b) else NotNearBy(a, b, pre, post)
         case Within(child, low, high):
-            child = as_spans(child, field)
+            child = as_spans(child, field, unknown)
             return child if empty(child) else Within(child, low, high)
         case Boosted(child, factor):
-            child = as_spans(child, field)
+            child = as_spans(child, field, unknown)
             return child if empty(child) else Boosted(child, factor)
-    return NOTHING
+    return unknown(query, field)
 
 
 def with_terms(query: Query, field: str) -> Query:
@@ -206,3 +218,23 @@ def with_terms(query: Query, field: str) -> Query:
 def any_of(parts: list[Query | None]) -> Query:
     some = list(dict.fromkeys(p for p in parts if not empty(p)))
     return NOTHING if not some else some[0] if len(some) == 1 else AnyOf(tuple(some))
+
+
+def replaced(query: Query, by: dict[Leaf, Query]) -> Query:
+    """query with other leaves."""
+    match query:
+        case Leaf():
+            return by.get(query, query)
+        case AnyOf(children):
+            return AnyOf(tuple(replaced(c, by) for c in children))
+        case NearBy(children, slop, ordered):
+            return NearBy(tuple(replaced(c, by) for c in children), slop, ordered)
+        case NotNearBy(a, b, pre, post):
+            return NotNearBy(replaced(a, by), replaced(b, by), pre, post)
+        case Within(child, low, high):
+            return Within(replaced(child, by), low, high)
+        case Boosted(child, factor):
+            return Boosted(replaced(child, by), factor)
+        case Bool(clauses, least):
+            return Bool(tuple(Clause(c.occur, replaced(c.query, by)) for c in clauses), least)
+    return query

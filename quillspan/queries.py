@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.analysis import ENGLISH_STOPS, WORDS, Analyzer
 from .operators import kwic, search, stats
 from .operators.search import Corpus
-from .plans import ir
+from .plans import ir, requests
 from .plans.parser import FieldType, Options
 from .sources import ingest
 from .sources.schema import captured, cleaned
@@ -40,9 +40,9 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         SQL[name] = sql
 
 
-def documents(spark: SparkSession, sf_dir: str, **options) -> Corpus:  # noqa: ANN003
+def documents(spark: SparkSession, sf_dir: str, analyzer: Analyzer = Analyzer(), **options) -> Corpus:  # noqa: ANN003
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return Corpus(rows, fields={"text": FieldType(), "lang": FieldType("string"), "source": FieldType("string"), "n_chars": FieldType("bigint")}, options=Options(**options))
+    return Corpus(rows, fields={"text": FieldType(analyzer=analyzer), "lang": FieldType("string"), "source": FieldType("string"), "n_chars": FieldType("bigint")}, options=Options(**options))
 
 
 def longs(df: DataFrame) -> DataFrame:
@@ -54,13 +54,12 @@ def longs(df: DataFrame) -> DataFrame:
 register("tokens_positions", lambda s, d: longs(search.tokens(documents(s, d), "text")), f"WITH {TOK} SELECT doc_id, pos, term FROM tok")
 
 
-def token_offsets(spark: SparkSession, sf_dir: str, pattern: str = ".{12,}") -> DataFrame:
-    w = kwic.windows(documents(spark, sf_dir), ir.Matches("text", pattern), before=0, after=0, order="NONE")
+def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = kwic.windows(documents(spark, sf_dir), ir.Matches("text", ".+"), before=0, after=0, order="NONE")
     return w.select("doc_id", F.col("s").cast("long").alias("pos"), "char_start", "char_end", "target")
 
 
-register("token_offsets", token_offsets, f"WITH {OFFSETS} SELECT doc_id, pos, ce - len(raw) AS char_start, ce AS char_end, raw AS target FROM off WHERE len(term) >= 12")
-register("token_offsets_all", lambda s, d: token_offsets(s, d, ".+"), f"WITH {OFFSETS} SELECT doc_id, pos, ce - len(raw) AS char_start, ce AS char_end, raw AS target FROM off")
+register("token_offsets", token_offsets, f"WITH {OFFSETS} SELECT doc_id, pos, ce - len(raw) AS char_start, ce AS char_end, raw AS target FROM off")
 register("vocabulary", lambda s, d: stats.vocabulary(documents(s, d)), f"WITH {VOC} SELECT * FROM voc")
 register("vocab_topn_df", lambda s, d: stats.top_terms(documents(s, d), n=100), f"WITH {VOC} SELECT * FROM voc ORDER BY df DESC, term LIMIT 100")
 register("vocab_topn_tf", lambda s, d: stats.top_terms(documents(s, d), n=100, by="tf"), f"WITH {VOC} SELECT * FROM voc ORDER BY tf DESC, term LIMIT 100")
@@ -106,7 +105,6 @@ def leaf(name: str, text: str, condition: str, **options) -> None:  # noqa: ANN0
     spans_of(name, text, f"SELECT doc_id, pos AS s, pos + 1 AS e FROM tok WHERE {condition}", **options)
 
 
-ASCII = "regexp_full_match(term, '[a-z0-9]+')"
 leaf("leaf_term", "The", "term = 'the'")
 leaf("leaf_prefix", "con*", "starts_with(term, 'con')")
 leaf("leaf_wildcard", "?o*t", "regexp_full_match(term, '.o.*t')", leading_wildcard=True)
@@ -114,41 +112,37 @@ leaf("leaf_regex", "/[a-c].*(ed|ing)/", "regexp_full_match(term, '[a-c].*(ed|ing
 leaf("leaf_range", "{mab TO mor]", "term > 'mab' AND term <= 'mor'")
 
 
-def whole(name: str, query_of: Callable[[Corpus], ir.Query], sql: str | None = None) -> None:
-    """All terms that match; DuckDB's distances count bytes, so that fuzzy ones have no SQL."""
+def whole(name: str, query_of: Callable[[Corpus], ir.Query], condition: str) -> None:
+    """All terms that match, with their counts."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = documents(spark, sf_dir)
-        return stats.vocabulary(c).where(search.predicate(query_of(c), F.col("term"))).select("term", "df", "tf")
+        return stats.term_counts(c, query_of(c)).select("term", "df", "tf")
 
-    register(name, query, sql)
+    register(name, query, f"WITH {VOC} SELECT term, df, tf FROM voc WHERE {condition}")
 
 
-def ascii_only(name: str, query_of: Callable[[Corpus], ir.Query], condition: str) -> None:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = documents(spark, sf_dir)
-        q = query_of(c)
-        terms = stats.vocabulary(c).where(search.predicate(q, F.col("term")) & F.col("term").rlike("^[a-z0-9]+$"))
-        return terms.select("term", "df", "tf")
+PLAIN = "regexp_replace(term, '[^a-z0-9]', '#', 'g')"  # DuckDB's distances count bytes: letters that the word hasn't are one sign
+whole("leaf_fuzzy1_osa", lambda c: ir.Similar("text", "form", 1), f"damerau_levenshtein({PLAIN}, 'form') <= 1")
+whole("leaf_fuzzy_lev", lambda c: ir.Similar("text", "house", 2, 1, False), f"starts_with(term, 'h') AND levenshtein({PLAIN}, 'house') <= 2")
+whole("leaf_slow_fuzzy3", lambda c: ir.Similar("text", "system", 3), f"levenshtein({PLAIN}, 'system') <= 3")
+whole("leaf_fuzzy_parsed", lambda c: c.parse_spans("thenth~>2,1"), f"starts_with(term, 't') AND levenshtein({PLAIN}, 'thenth') <= 2")
+whole("term_counts", lambda c: ir.StartsWith("text", "con"), "starts_with(term, 'con')")
 
-    register(name, query, f"WITH {VOC} SELECT term, df, tf FROM voc WHERE {ASCII} AND {condition}")
+
+def prefix_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = documents(spark, sf_dir)
+    return longs(search.spans(c, search.expanded(c, c.parse_spans("con*"), 5)))
 
 
-ascii_only("leaf_fuzzy1_osa", lambda c: ir.Similar("text", "form", 1), "damerau_levenshtein(term, 'form') <= 1")
-ascii_only("leaf_fuzzy_lev", lambda c: ir.Similar("text", "house", 2, 1, False), "starts_with(term, 'h') AND levenshtein(term, 'house') <= 2")
-ascii_only("leaf_slow_fuzzy3", lambda c: ir.Similar("text", "system", 3), "levenshtein(term, 'system') <= 3")
-ascii_only("term_counts", lambda c: ir.StartsWith("text", "pre"), "starts_with(term, 'pre')")
-whole("leaf_fuzzy1_osa_all", lambda c: ir.Similar("text", "form", 1))
-whole("leaf_fuzzy_lev_all", lambda c: ir.Similar("text", "house", 2, 1, False))
-whole("leaf_slow_fuzzy3_all", lambda c: ir.Similar("text", "system", 3))
-whole("term_counts_all", lambda c: ir.StartsWith("text", "con"), f"WITH {VOC} SELECT term, df, tf FROM voc WHERE starts_with(term, 'con')")
+register("leaf_prefix_top", prefix_top, f"WITH {VOC}, top AS (SELECT term FROM voc WHERE starts_with(term, 'con') ORDER BY df DESC, term LIMIT 5) SELECT doc_id, pos AS s, pos + 1 AS e FROM tok WHERE term IN (SELECT term FROM top)")
 
 
 def two(a: str, b: str, near: str) -> str:
     return f"FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.term = '{a}' AND b.term = '{b}' AND {near}"
 
 
-spans_of("phrase_exact", '"of the"', f"SELECT a.doc_id, a.pos AS s, b.pos + 1 AS e {two('of', 'the', 'b.pos = a.pos + 1')}")
+spans_of("phrase_exact", '"of the"', "SELECT doc_id, pos AS s, pos + 2 AS e FROM (SELECT *, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM tok) WHERE term = 'of' AND following = 'the'")
 spans_of("near_ordered", "[the and]~>3", f"SELECT a.doc_id, a.pos AS s, min(b.pos) + 1 AS e {two('the', 'and', 'b.pos BETWEEN a.pos + 1 AND a.pos + 4')} GROUP BY ALL")
 spans_of(
     "near_unordered", "[the and]~3",
@@ -181,7 +175,41 @@ def overlap_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(search.without_overlaps(search.spans(c, c.parse_spans('(the "of the")')), c.key))
 
 
-register("overlap_drop", overlap_drop)  # a sequential choice; tests compare it with the definition
+register(
+    "overlap_drop", overlap_drop,
+    f"""WITH {TOK}, two AS (SELECT doc_id, pos AS s FROM (SELECT *, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM tok) WHERE term = 'of' AND following = 'the')
+SELECT doc_id, s, s + 2 AS e FROM two UNION ALL SELECT doc_id, pos, pos + 1 FROM tok WHERE term = 'the' AND NOT EXISTS (SELECT 1 FROM two WHERE two.doc_id = tok.doc_id AND two.s BETWEEN pos - 1 AND pos + 1)""",
+)
+
+# Stop words: holes in phrases, wider distances, clauses of nothing else, edges of windows
+
+STOPPED = Analyzer(stops=ENGLISH_STOPS)
+STOPS = "(" + ", ".join(f"'{w}'" for w in sorted(ENGLISH_STOPS)) + ")"
+spans_of("stop_near", "[er the st]~>4", f"SELECT a.doc_id, a.pos AS s, min(b.pos) + 1 AS e {two('er', 'st', 'b.pos BETWEEN a.pos + 1 AND a.pos + 6')} GROUP BY ALL", analyzer=STOPPED)
+spans_of("stop_phrase", "'st of the th'", f"SELECT a.doc_id, a.pos AS s, min(b.pos) + 1 AS e {two('st', 'th', 'b.pos BETWEEN a.pos + 1 AND a.pos + 3')} GROUP BY ALL", analyzer=STOPPED)
+spans_of("stop_inside", "[er st]~>2", f"SELECT a.doc_id, a.pos AS s, min(b.pos) + 1 AS e {two('er', 'st', 'b.pos BETWEEN a.pos + 1 AND a.pos + 3')} GROUP BY ALL", analyzer=STOPPED)
+
+
+def repeated_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Corpus(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id")
+    return longs(search.spans(c, c.parse_spans("[the of]~>6")))
+
+
+TURNS = rf"""turns AS (SELECT DISTINCT conv_id, text FROM conversations), tok AS (
+  SELECT conv_id, text, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM (SELECT conv_id, text, list_transform(regexp_extract_all(text, '{RX}'), lambda t: lower(t)) AS ws FROM turns)
+)"""
+register(
+    "repeated_near", repeated_near,
+    f"WITH {TURNS} SELECT conv_id, s, e FROM (SELECT a.conv_id, a.text, a.pos AS s, min(b.pos) + 1 AS e FROM tok a JOIN tok b ON a.conv_id = b.conv_id AND a.text = b.text AND a.term = 'the' AND b.term = 'of' AND b.pos BETWEEN a.pos + 1 AND a.pos + 7 GROUP BY ALL)",
+)
+
+
+def bigram_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = documents(spark, sf_dir)
+    return longs(c.rows().select("doc_id", c.terms("text").alias("t")).select("doc_id", F.inline(search.bigrams("t"))))
+
+
+register("bigram_tokens", bigram_tokens, f"WITH {TOK} SELECT doc_id, pos, term FROM tok UNION ALL SELECT doc_id, pos, term || '_' || following FROM (SELECT *, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM tok) WHERE following IS NOT NULL")
 
 # Documents
 
@@ -204,8 +232,10 @@ docs_of("bool_negative", "-the -de", f"NOT {has('the', 'de')}")
 docs_of("bool_fielded", "+lang:en +(the OR of) -source:src0", f"lang = 'en' AND {has('the', 'of')} AND coalesce(source, '') <> 'src0'")
 docs_of("bool_default_and", "the of (and OR in)", f"{has('the')} AND {has('of')} AND {has('and', 'in')}", default_and=True)
 docs_of("parsed_mixed", '"of the"~>2 AND NOT con*', "EXISTS (SELECT 1 FROM tok a JOIN tok b USING (doc_id) WHERE a.doc_id = d.doc_id AND a.term = 'of' AND b.term = 'the' AND b.pos BETWEEN a.pos + 1 AND a.pos + 3) AND NOT EXISTS (SELECT 1 FROM has h WHERE h.doc_id = d.doc_id AND starts_with(h.term, 'con'))")
+docs_of("stop_only_clause", "+the +er", has("er"), analyzer=STOPPED)
+docs_of("match_all", "*:* -the", f"NOT {has('the')}")
 docs_of("typed_range_int", "n_chars:[500 TO 900} the", f"n_chars BETWEEN 500 AND 899 OR {has('the')}")
-register("doc_count", lambda s, d: search.doc_count(documents(s, d), ir.TermIs("text", "the")), f"WITH {TOK} SELECT count(DISTINCT doc_id) AS n_docs FROM tok WHERE term = 'the'")
+register("doc_count", lambda s, d: search.doc_count(documents(s, d), ir.TermIs("text", "the")), f"WITH {TOK} SELECT count(DISTINCT doc_id) AS n_docs FROM tok WHERE term = 'the'")  # ids are unique in documents
 register("facets_lang", lambda s, d: search.facets(documents(s, d), ir.TermIs("text", "in"), "lang"), f"WITH {TOK} SELECT lang AS value, count(*) AS n FROM documents d WHERE EXISTS (SELECT 1 FROM tok WHERE tok.doc_id = d.doc_id AND term = 'in') GROUP BY lang")
 
 
@@ -263,6 +293,98 @@ windows_of("kwic_target_post", "con*", "TARGET_POST", "h.term || ' ' || coalesce
 windows_of("kwic_doc", "(fox of)", "DOC", "h.doc_id::VARCHAR", condition="term IN ('fox', 'of')")
 
 
+def kwic_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = documents(spark, sf_dir, analyzer=STOPPED)
+    return shown(kwic.windows(c, c.parse("st"), before=4, after=4))
+
+
+register(
+    "kwic_stops", kwic_stops,
+    f"""WITH {OFFSETS}, h AS (SELECT * FROM off WHERE term = 'st'), near AS (
+  SELECT h.doc_id, h.pos, o.pos AS p, o.raw, o.gap, o.after, o.term, o.term NOT IN {STOPS} AS seen FROM h JOIN off o ON o.doc_id = h.doc_id AND o.pos BETWEEN h.pos - 4 AND h.pos + 4
+), edge AS (SELECT doc_id, pos, min(p) FILTER (p < pos AND seen) AS first, max(p) FILTER (p > pos AND seen) AS last FROM near GROUP BY doc_id, pos),
+win AS (
+  SELECT doc_id, pos, string_agg(raw || after, '' ORDER BY p) FILTER (p < pos AND p >= first) AS pre, string_agg(gap || raw, '' ORDER BY p) FILTER (p > pos AND p <= last) AS post,
+    string_agg(term, ' ' ORDER BY p DESC) FILTER (p < pos AND seen) AS back
+  FROM near JOIN edge USING (doc_id, pos) GROUP BY doc_id, pos
+)
+SELECT doc_id, pos, coalesce(left(pre, len(pre) - 1), '') AS pre, h.raw AS target, coalesce(post, '') AS post, coalesce(back, '') AS sort_key, h.ce - len(h.raw) AS char_start FROM win JOIN h USING (doc_id, pos)""",
+)
+
+
+def kwic_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as documents that share their conversation's name: offsets are in the turn."""
+    c = Corpus(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id")
+    w = kwic.windows(c, c.parse("the"), before=3, after=3, order="NONE", metadata=["turn"])
+    return w.select("conv_id", F.col("metadata")["turn"].cast("long").alias("turn"), F.col("s").cast("long").alias("pos"), "pre", "target", "post", "char_start")
+
+
+register(
+    "kwic_repeated", kwic_repeated,
+    rf"""WITH parts AS (SELECT conv_id, turn, regexp_extract_all(text, '{RX}') AS tk, string_split_regex(text, '{RX}') AS gp FROM conversations),
+placed AS (SELECT conv_id, turn, unnest(tk) AS raw, unnest(range(len(tk))) AS pos, unnest(gp[1 : len(tk)]) AS gap, unnest(gp[2 : len(tk) + 1]) AS after FROM parts),
+off AS (SELECT *, lower(raw) AS term, (sum(len(gap) + len(raw)) OVER (PARTITION BY conv_id, turn ORDER BY pos))::BIGINT AS ce FROM placed),
+w AS (SELECT h.conv_id, h.turn, h.pos, string_agg(o.raw || o.after, '' ORDER BY o.pos) FILTER (o.pos < h.pos) AS p, string_agg(o.gap || o.raw, '' ORDER BY o.pos) FILTER (o.pos > h.pos) AS post
+  FROM (SELECT * FROM off WHERE term = 'the') h JOIN off o ON o.conv_id = h.conv_id AND o.turn = h.turn AND o.pos BETWEEN h.pos - 3 AND h.pos + 3 GROUP BY ALL)
+SELECT h.conv_id, h.turn, h.pos, coalesce(left(p, len(p) - 1), '') AS pre, h.raw AS target, coalesce(post, '') AS post, h.ce - len(h.raw) AS char_start FROM w JOIN off h USING (conv_id, turn, pos)""",
+)
+
+
+def kwic_built_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows by what follows, then by what stands before."""
+    c = documents(spark, sf_dir)
+    return shown(kwic.windows(c, c.parse("con*"), before=3, after=3, order=lambda before, target, after: F.concat_ws(">", F.get(after, 0), F.get(before, 0))))
+
+
+register("kwic_built_key", kwic_built_key, kwic_sql("starts_with(term, 'con')", 3, 3, "concat_ws('>', string_split(forth, ' ')[1], string_split(back, ' ')[1])"))
+
+
+def kwic_same_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One window for each target and what follows it."""
+    c = documents(spark, sf_dir)
+    w = kwic.deduplicated(kwic.windows(c, c.parse("con*"), before=0, after=1), same=lambda x: [F.lower(x("target")), F.lower(x("post"))])
+    return w.select("doc_id", F.col("s").cast("long").alias("pos"), "target", "post", "count")
+
+
+register(
+    "kwic_same_target", kwic_same_target,
+    kwic_sql("starts_with(term, 'con')", 0, 1, "''", ", d AS (SELECT *, row_number() OVER (PARTITION BY lower(target), lower(post) ORDER BY doc_id, pos) AS k, count(*) OVER (PARTITION BY lower(target), lower(post)) AS \"count\" FROM win) SELECT doc_id, pos, target, post, \"count\" FROM d WHERE k = 1"),
+)
+
+
+def kwic_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of two corpora as of one: those that agree are one, and their counts are summed."""
+    c = documents(spark, sf_dir)
+    shards = [Corpus(c.docs.where(w), c.key, c.fields, c.options) for w in ("source = 'src0'", "not source <=> 'src0'")]
+    out = kwic.merged([kwic.deduplicated(kwic.windows(x, x.parse("of"), before=1, after=1)) for x in shards], dedup=True)
+    return out.select("doc_id", F.col("s").cast("long").alias("pos"), "pre", "target", "post", "count")
+
+
+register(
+    "kwic_merged", kwic_merged,
+    kwic_sql("term = 'of'", 1, 1, "''", ", d AS (SELECT *, row_number() OVER (PARTITION BY lower(pre), lower(target), lower(post) ORDER BY doc_id, pos) AS k, count(*) OVER (PARTITION BY lower(pre), lower(target), lower(post)) AS \"count\" FROM win) SELECT doc_id, pos, pre, target, post, \"count\" FROM d WHERE k = 1"),
+)
+
+
+def kwic_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows by request parameters; what can't be read is passed over."""
+    c = documents(spark, sf_dir)
+    asked = requests.kwic_options({"tokensBefore": "2", "tokensAfter": "many", "sortOrder": "post", "maxWindows": "500", "targetOverlaps": "false"})
+    return shown(kwic.windows(c, c.parse("the"), **asked))
+
+
+register("kwic_request", kwic_request, kwic_sql("term = 'the'", 2, 10, FORTH, "SELECT * FROM win ORDER BY doc_id, pos LIMIT 500"))
+
+
+def window_visitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows a term, and how many documents begin with it."""
+    c = documents(spark, sf_dir)
+    return kwic.visited(kwic.term_windows(c, c.parse("the"), before=0, after=1), F.sum((F.col("s") == 0).cast("long")).alias("first"), by=[F.get("post", 0).alias("following")])
+
+
+register("window_visitor", window_visitor, f"WITH {TOK} SELECT following, count(*) AS n_windows, sum((pos = 0)::BIGINT)::BIGINT AS first FROM (SELECT *, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM tok) WHERE term = 'the' GROUP BY following")
+
+
 def kwic_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = documents(spark, sf_dir)
     return shown(kwic.windows(c, c.parse("the"), before=5, after=5, limit=100))
@@ -325,9 +447,9 @@ WHERE lower(h.raw) = 'the'""",
 
 # Grams, targets, contrast
 
-def cooccur(name: str, sql: str, text: str = "fox", **options) -> None:  # noqa: ANN003
+def cooccur(name: str, sql: str, text: str = "fox", analyzer: Analyzer = Analyzer(), **options) -> None:  # noqa: ANN003
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = documents(spark, sf_dir)
+        c = documents(spark, sf_dir, analyzer=analyzer)
         rows = stats.cooccurrences(c, c.parse(text), min_tf=3, n=50, before=4, after=4, **options)
         return rows.select("term", "tf", "df", F.round("idf", 6).alias("idf"), F.round("tfidf", 5).alias("tfidf"))
 
@@ -355,6 +477,20 @@ cooccur(
     "cooccur_blacklist", gram_sql(f"SELECT term FROM ({UNI}) WHERE term IN (SELECT term FROM voc, total WHERE ln((docs + 1.0) / df) > 2)", TARGET), TARGET, kind="wgram", reject_idf=2.0,
 )
 
+# Words between the ends of a w-gram that are stop words or not accepted stay in it, and count for nothing.
+ENDS = "list_filter(range(1, len(a) + 1), lambda i: a[i] IS NOT NULL{more})"
+WGRAM = "SELECT unnest(list_transform(range(1, len(g)), lambda k: array_to_string(list_transform(a[g[k] : g[k + 1]], lambda x: coalesce(x, '_')), ' '))) AS term FROM (SELECT a, {ends} AS g FROM both_sides)"
+
+
+def stopped(sql: str) -> str:
+    """The same over terms without stop words, which are null in windows."""
+    return sql.replace("list(o.term ORDER BY", f"list(CASE WHEN o.term NOT IN {STOPS} THEN o.term END ORDER BY").replace("count(*) AS tf FROM tok GROUP BY term)", f"count(*) AS tf FROM tok WHERE term NOT IN {STOPS} GROUP BY term)")
+
+
+cooccur("cooccur_wgram_stops", stopped(gram_sql(WGRAM.format(ends=ENDS.format(more="")), "st")), "st", analyzer=STOPPED, low=2, high=2, kind="wgram")
+cooccur("cooccur_wgram_accept", gram_sql(WGRAM.format(ends=ENDS.format(more=" AND len(a[i]) > 3")), TARGET), TARGET, low=2, high=2, kind="wgram", accept=lambda t: F.length(t) > 3)
+cooccur("cooccur_grammer", gram_sql("SELECT term || '+' AS term FROM (SELECT unnest(a) AS term FROM both_sides) WHERE len(term) > 3", TARGET), TARGET, kind=lambda a: F.transform(F.filter(a, lambda t: F.length(t) > 3), lambda t: F.concat(t, F.lit("+"))))
+
 
 def target_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = documents(spark, sf_dir)
@@ -405,11 +541,17 @@ register(
 
 
 def multivalue_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ingest.values_by_key(spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null"), "conv_id", "turn")
+    rows = ingest.values_by_key(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn")
     return rows.select("conv_id", ingest.multivalue_substring(F.col("text"), 10, 400, 3).alias("part"))
 
 
-register("multivalue_substring", multivalue_substring)  # tests have the cases
+register(
+    "multivalue_substring", multivalue_substring,
+    """WITH v AS (SELECT conv_id, text, row_number() OVER w AS k, coalesce(sum(len(text) + 3) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins FROM conversations WHERE text IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)),
+rest AS (SELECT * FROM v WHERE begins + len(text) > 10),
+parts AS (SELECT conv_id, min(begins) AS first, string_agg(substring(text, greatest(10 - begins, 0) + 1, least(400 - begins, len(text)) - greatest(10 - begins, 0)), ' | ' ORDER BY k) FILTER (begins <= 400) AS shown FROM rest GROUP BY conv_id)
+SELECT conv_id, CASE WHEN first IS NULL THEN '' ELSE CASE WHEN first > 10 THEN ' | ' ELSE '' END || coalesce(shown, '') END AS part FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL) LEFT JOIN parts USING (conv_id)""",
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

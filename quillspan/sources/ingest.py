@@ -16,7 +16,7 @@ def text_directory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (doc_id, text): each line is a document; .gz and .bz2 files are unpacked. doc_id is a hash of the file, the line's place in it is not known to a split; equal lines of a file share one."""
+    """Rows (doc_id, text): each line is a document; .gz and .bz2 files are unpacked. doc_id is a hash of the file and the line, whose place in it is not known to a split; equal lines of a file share one and are documents each."""
     return spark.read.text(path).select(F.xxhash64(F.input_file_name(), "value").alias("doc_id"), F.col("value").alias("text"))
 
 
@@ -33,10 +33,20 @@ def values_by_key(rows: DataFrame, key: str, order: str, value: str = "text") ->
     return pairs.select(key, F.transform("v", lambda x: x[value]).alias(value))
 
 
-def write_postings(corpus: Corpus, name: str, path: str, files: int = 64) -> None:
-    """Rows (term, df, tf, bucket) and (key, term, positions), both cut by a hash of the term: a reader of some terms opens few files."""
-    one = search.tokens(corpus, name).groupBy("term", corpus.key).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    one.withColumn("bucket", F.pmod(F.hash("term"), F.lit(files))).repartition("bucket").sortWithinPartitions("term", corpus.key).write.partitionBy("bucket").parquet(path)
+def write_postings(corpus: Corpus, name: str, path: str, files: int = 64, parts: int = 16) -> None:
+    """Rows (term, key, positions), a row of the corpus each, in buckets by a hash of the term: a reader of some terms opens few files.
+
+    Positions of a term are gathered within their row. Each bucket is cut into
+    parts by the key, so that no task has all of a frequent term's postings.
+    """
+    place = F.transform(search.stacked(corpus, name, corpus.terms(name)), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    if corpus.type_of(name).analyzer.synonyms:
+        place = F.flatten(F.transform(corpus.terms(name), lambda t, i: F.transform(search.synonyms_of(corpus, name, t), lambda x: F.struct(x.alias("term"), i.alias("pos")))))
+    some = F.filter(place, lambda x: x.term.isNotNull())
+    one = corpus.rows().select(corpus.key, some.alias("p")).select(corpus.key, "p", F.explode(F.array_distinct(F.transform("p", lambda x: x.term))).alias("term"))
+    one = one.select("term", corpus.key, F.transform(F.filter("p", lambda x: x.term == F.col("term")), lambda x: x.pos).alias("positions"))
+    one = one.withColumn("bucket", F.pmod(F.hash("term"), F.lit(files)))
+    one.repartition(files * parts, "bucket", F.pmod(F.hash(corpus.key), F.lit(parts))).sortWithinPartitions("bucket", "term", corpus.key).write.partitionBy("bucket").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str, terms: list[str] | None = None, files: int = 64) -> DataFrame:
@@ -53,8 +63,9 @@ def multivalue_substring(values: Column, start: int, end: int, offset_gap: int,
 
     Values meet at joiner; a range that begins in a gap begins with joiner, one
     that ends in a gap ends with the value before it. Negative places count as
-    0; beyond all values, and for null, there is nothing.
+    0; beyond all values, and for null, there is nothing. Null values are none.
     """
+    values = F.filter(values, lambda v: v.isNotNull())
     end = max(0, end)
     start = min(max(0, start), end)
     sizes = F.transform(values, lambda v: F.length(v) + offset_gap)

@@ -78,10 +78,21 @@ class Mapper:
     find: str | None = None
     into: str = "$0"
     policy: str = "skip"
+    then: Mapper | None = None  # what this gives goes on to it; its own source and target don't count
 
     def values(self, values: Column) -> Column:
         values = cleaned(values)
-        return values if self.find is None else captured(values, self.find, self.into, self.policy)
+        values = values if self.find is None else captured(values, self.find, self.into, self.policy)
+        return values if self.then is None else self.then.values(values)
+
+
+def _captures(m: Mapper | None) -> dict:
+    out = []
+    while m is not None:
+        if m.find is not None:
+            out.append({"find": m.find, "replace": m.into, "fail_policy": m.policy})
+        m = m.then
+    return {"capture": out if len(out) > 1 else out[0]} if out else {}
 
 
 def cleaned(values: Column) -> Column:
@@ -147,9 +158,12 @@ class IndexSchema:
             if m["t"] not in fields:
                 raise SchemaError(f"{m['t']} is no field")
             c = m.get("capture")
-            mappers.append(Mapper(m["f"], m["t"], *((c["find"], c.get("replace", "$0"), c.get("fail_policy", "skip")) if c else ())))
-            if mappers[-1].policy not in POLICIES:
-                raise SchemaError(f"{mappers[-1].policy} is none of " + ", ".join(POLICIES))
+            chain = None
+            for one in reversed(c if isinstance(c, list) else [c]):  # a list: one after the other
+                chain = Mapper(m["f"], m["t"], *((one["find"], one.get("replace", "$0"), one.get("fail_policy", "skip")) if one else ()), then=chain)
+                if chain.policy not in POLICIES:
+                    raise SchemaError(f"{chain.policy} is none of " + ", ".join(POLICIES))
+            mappers.append(chain)
         return cls(fields, frozenset(single), tuple(mappers), str(mapping.get("ignore_case", "true")).lower() == "true", analyzers)
 
     def to_json(self) -> str:
@@ -165,7 +179,7 @@ class IndexSchema:
                     fields[n]["query_analyzer"] = name_of[id(f.normalizer)]
         out = {"analyzers": {k: _spec(a) for k, a in self.analyzers.items()}, "fields": fields}
         if self.mappers:
-            out["field_mapper"] = {"ignore_case": str(self.ignore_case).lower(), "mappings": [{"f": m.source, "t": m.target} | ({"capture": {"find": m.find, "replace": m.into, "fail_policy": m.policy}} if m.find is not None else {}) for m in self.mappers]}
+            out["field_mapper"] = {"ignore_case": str(self.ignore_case).lower(), "mappings": [{"f": m.source, "t": m.target} | _captures(m) for m in self.mappers]}
         return json.dumps(out, indent=1, ensure_ascii=False)
 
     def apply(self, rows: DataFrame, key: str = "doc_id") -> Corpus:
