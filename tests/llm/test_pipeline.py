@@ -56,3 +56,25 @@ def test_stages(spark, stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages[-1].count()
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, id long, tag long, label string"
+    words_of = {"en": "the water of and house with green river stone", "de": "das wasser und haus mit grün fluss stein über"}
+    rows = [(k, f"{words_of[lang]} {lang}{k} {words_of[lang]}", lang, "s", 1, None, None, None) for k, lang in enumerate(["en", "de"] * 20)]
+    rows += [(None, None, "en", "s", 0, 1, 1, "x"), (100, "", "en", "s", 0, 1, 1, "x"), (101, None, None, None, None, None, None, None), (0, rows[0][1], "en", "s", 1, None, None, None), (None, rows[1][1], "de", "s", 1, None, None, None), (102, "the water of " * 9000, "en", "s", 1, None, None, None)]
+    docs = spark.createDataFrame(rows, kind)
+    kept = []
+    for name, f in corpus_pipeline.STAGES:
+        out = store.written(f(spark, docs, SF), "odd")
+        kept.append(sorted((r.doc_id for r in out.collect()), key=repr))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+            docs = out
+        else:
+            assert out.columns == ["doc_id", "ids", "n_ids", "decoded"]
+        empty = spark.createDataFrame([], kind)
+        assert f(spark, empty, SF).count() == 0
+    assert kept[0] == sorted([0, None, 102, *range(40)], key=repr)  # a repeated row, and one without an id
+    assert kept[1] == sorted([102, *range(40)], key=repr)
+    assert kept[2] == kept[3] == kept[4] == sorted([0, 1, 102], key=repr)
