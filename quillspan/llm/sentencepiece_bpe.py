@@ -66,6 +66,7 @@ class Vocabulary:
             self.symbol[ord(ch)] = k + 1
         self.scalar_only = {ch for ch in letters if ch not in self.piece_id}  # never so in a trained vocabulary
         self._automaton(longer, letters)
+        self._splits(longer)
         self.pair_key = np.full(_SLOTS, -1, np.int64)
         self.pair_ok = np.zeros(_SLOTS, bool)
 
@@ -97,6 +98,27 @@ class Vocabulary:
                 go[s, k] = child
         self.go = go
 
+    def _splits(self, longer: list[str]) -> None:
+        """rank: the order in which pieces are made, 0 for characters; left and right: of what two a piece is made last, itself for characters; joint_*: all pairs of pieces whose joint text is one."""
+        self.rank = np.zeros(self.size, np.int64)
+        for k, p in enumerate(sorted(longer, key=lambda p: -self.score[self.piece_id[p]])):
+            self.rank[self.piece_id[p]] = k + 1
+        self.left = np.arange(self.size, dtype=np.int64)
+        self.right = self.left.copy()
+        # False for pieces that merging never makes.
+        self.made = np.ones(self.size, bool)
+        found = [(i, self.piece_id[p[:k]], self.piece_id[p[k:]]) for p in longer for i in (self.piece_id[p],) for k in range(1, len(p)) if p[:k] in self.piece_id and p[k:] in self.piece_id]
+        joint, one, two = np.array(found, np.int64).reshape(-1, 3).T
+        key = one * self.size + two
+        order = np.argsort(key)
+        self.joint_key, self.joint_rank = key[order], self.rank[joint[order]]
+        self.made[[self.piece_id[p] for p in longer]] = False
+        length = self.chars[joint]
+        for n in range(2, int(length.max()) + 1 if len(length) else 2):  # of shorter pieces all is known
+            o = np.flatnonzero(length == n)
+            o = o[self._stay(one[o], two[o], self.rank[joint[o]])]
+            self.left[joint[o]], self.right[joint[o]], self.made[joint[o]] = one[o], two[o], True
+
     def merge(self, text: str) -> list[str]:
         """The definition: again and again join the neighbours whose joint piece has the best score, the leftmost first."""
         parts, ids, score = list(text), self.piece_id, self.score
@@ -111,6 +133,31 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _stay(self, one: np.ndarray, two: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Whether merging the joint text of each pair gives the two, with no piece of a rank below limit across their border.
+
+        Their merges are undone, the last made first: at each step nothing that
+        was to be made before may join what is at the border.
+        """
+        ok = self.made[one] & self.made[two]
+        a, b, limit = one.copy(), two.copy(), limit.copy()
+        live = np.flatnonzero(ok)
+        while len(live):
+            x, y = a[live], b[live]
+            key = x * self.size + y
+            at = np.minimum(np.searchsorted(self.joint_key, key), len(self.joint_key) - 1)
+            joined = (self.joint_key[at] == key) & (self.joint_rank[at] < limit[live])
+            ok[live[joined]] = False
+            live, x, y = live[~joined], x[~joined], y[~joined]
+            rx, ry = self.rank[x], self.rank[y]
+            first = rx > ry  # the later one is undone; of equal ones the right, which merges after the left
+            live = live[(rx > 0) | (ry > 0)]
+            keep = (rx > 0) | (ry > 0)
+            x, y, rx, ry, first = x[keep], y[keep], rx[keep], ry[keep], first[keep]
+            limit[live] = np.where(first, rx, ry + 1)
+            a[live], b[live] = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
+        return ok
+
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self.size + right
         slot = (key * 0x9E3779B1 >> 7) & (_SLOTS - 1)
@@ -118,10 +165,7 @@ class Vocabulary:
         miss = np.flatnonzero(self.pair_key[slot] != key)
         if len(miss):
             new, back = np.unique(key[miss], return_inverse=True)
-            said = np.empty(len(new), bool)
-            for n, (a, b) in enumerate(zip((new // self.size).tolist(), (new % self.size).tolist(), strict=True)):
-                x, y = self.text[a], self.text[b]
-                said[n] = self.merge(x + y) == [x, y]
+            said = self._stay(new // self.size, new % self.size, np.full(len(new), 1 << 60))
             at = (new * 0x9E3779B1 >> 7) & (_SLOTS - 1)
             self.pair_key[at], self.pair_ok[at] = new, said
             ok[miss] = said[back]
