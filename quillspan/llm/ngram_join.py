@@ -33,7 +33,7 @@ from . import textarr as ta
 
 N = 3
 THRESHOLD = 0.5
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 20 << 20
 BLOCK_SETS = 4000
 _EPS = 1e-9
 
@@ -148,24 +148,31 @@ def _living(shards: int):  # noqa: ANN202
                 if len(o):
                     rows.append((-1, k, docs[o].tobytes(), tags[o].tobytes(), ns[o].tobytes(), None, None, None))
             yield _batch(rows)
+            del rows
+        del owners, tables
         t = t.filter(pa.compute.equal(t.column("home"), -1))
-        for shard in sorted(set(t.column("shard").to_pylist())):
-            part = t.filter(pa.compute.equal(t.column("shard"), shard))
+        shards_here = sorted(set(t.column("shard").to_pylist()))
+        for shard in shards_here:
+            part = t.filter(pa.compute.equal(t.column("shard"), shard)) if len(shards_here) > 1 else t
+            if len(shards_here) == 1:
+                del t
             tags, counts = _join(part.column("tags"), np.uint64), _counts(part.column("counts"), part.column("tags"))
             grams = _unpack(part.column("grams").to_pylist())
             del part
+            ta.release()
             tags, one = np.unique(tags, return_index=True)  # equal sets are one
             starts = (np.cumsum(counts) - counts)[one]
             counts = counts[one]
             grams = grams[ta.ragged(starts, counts)]
-            order = np.argsort(grams)
-            sizes = np.diff(ta.bounds(grams[order]))
-            df = np.empty(len(grams), np.int64)
+            order = np.argsort(grams).astype(np.int32)
+            sizes = np.diff(ta.bounds(grams[order])).astype(np.int32)
+            df = np.empty(len(grams), np.int32)
             df[order] = np.repeat(sizes, sizes)
+            del order, sizes
             alive = df > 1
-            owner = np.repeat(np.arange(len(tags)), counts)[alive]
-            grams = grams[alive]
-            rank = np.minimum(255, np.where(df < 128, df, 128 + 8 * np.log2(df / 128.0)))[alive].astype(np.uint8)
+            owner = np.repeat(np.arange(len(tags), dtype=np.int32), counts)[alive]
+            grams, df = grams[alive], df[alive]
+            rank = np.minimum(255, np.where(df < 128, df, 128 + 8 * np.log2(df / 128.0))).astype(np.uint8)
             left = np.bincount(owner, minlength=len(tags))
             first = np.cumsum(left) - left
             home = (tags % np.uint64(shards)).astype(np.int64)
@@ -536,4 +543,6 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col:
     whatever name, are kept as they are.
     """
     owners, found = _searched(docs, n, threshold, id_col, text_col, False)
-    return store.without(docs, _groups(owners, found).where("doc <> class").select("doc"), id_col)
+    out = store.without(docs, _groups(owners, found).where("doc <> class").select("doc"), id_col)
+    store.drop(owners), store.drop(found)  # the ids that go are a table of their own by now
+    return out
