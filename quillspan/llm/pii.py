@@ -197,15 +197,29 @@ def beliefs(g: Graph, m: Model, rounds: int | None = ROUNDS) -> tuple[np.ndarray
         np.add.at(t, i, back)
         return t
 
-    for _ in range((len(local) if rounds is None else rounds) if len(i) else 0):
-        t = total()
-        f = _logsumexp((t[i] - back)[:, :, None] + theta, 1)
-        b = _logsumexp((t[j] - forward)[:, None, :] + theta, 2)
-        f, b = (0.8 * (f - f.max(1, keepdims=True)) + 0.2 * forward), (0.8 * (b - b.max(1, keepdims=True)) + 0.2 * back)
-        settled = rounds is None and max(np.abs(f - forward).max(), np.abs(b - back).max()) < SETTLED
-        forward, back = f, b
-        if settled:
+    def sent(t: np.ndarray, a: np.ndarray, b: np.ndarray, e: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        """Messages over the edges e, between places a and b of t."""
+        f = _logsumexp((t[a] - back[e])[:, :, None] + theta[e], 1)
+        r = _logsumexp((t[b] - forward[e])[:, None, :] + theta[e], 2)
+        return (0.8 * (f - f.max(1, keepdims=True)) + 0.2 * forward[e]), (0.8 * (r - r.max(1, keepdims=True)) + 0.2 * back[e])
+
+    if rounds is not None:
+        for _ in range(rounds if len(i) else 0):
+            forward, back = sent(total(), i, j, slice(None))
+    live = np.arange(len(i) if rounds is None else 0)
+    for _ in range(len(local)):
+        if not len(live):
             break
+        # Documents whose messages have settled are left as they are.
+        nodes, at = np.unique(np.concatenate((i[live], j[live])), return_inverse=True)
+        a, b = at[: len(live)], at[len(live) :]
+        t = local[nodes]
+        np.add.at(t, b, forward[live])
+        np.add.at(t, a, back[live])
+        f, r = sent(t, a, b, live)
+        moved = np.maximum(np.abs(f - forward[live]).max(1), np.abs(r - back[live]).max(1)) >= SETTLED
+        forward[live], back[live] = f, r
+        live = live[np.isin(g.doc[i[live]], g.doc[i[live[moved]]])]
     t = total()
     node = np.exp(t - _logsumexp(t, 1)[:, None]) if len(t) else t
     pair = (t[i] - back)[:, :, None] + (t[j] - forward)[:, None, :] + theta
