@@ -1,26 +1,31 @@
-"""Unbounded n-gram scoring against sharded corpus suffix arrays.
-
-Each shard of the corpus (some millions of words of whole documents, each read
-backwards) has a suffix array of its own, built once. Texts come in blocks, and
-each block goes through all shards: the longest run of words that ends at each
-word is looked up by binary search, as far back as the shard knows it, and
-counts of the longest are summed over shards. A word's context is the longest
-run before it that the corpus has at all, of whatever length; its probability
-is the smoothed share of the context's occurrences that the word follows.
-
-A block's runs are looked up in their sorted order, by their first words in one
-number; only those that a shard has at all, and as long as the longest so far,
-are followed further.
+"""Unbounded n-gram scoring: short runs by counts, long ones against sharded suffix arrays.
+
+A word's context is the longest run of words before it that the corpus has at
+all, of whatever length; its probability is the smoothed share of the context's
+occurrences that the word follows.
+
+Runs of 1, 2, ... SHORT words are counted one length after the other. Files of
+the corpus give the hashes of their runs, sorted, and blocks of texts those
+that they ask for; each range of hashes is one task, which answers the blocks
+and tells the files which of their runs were asked for and found. A run can be
+longer by a word only where it and the one that ends a word earlier were found,
+so that few are left after two or three words. This work is in proportion to
+the corpus.
+
+What is found to be longer than that are stretches of copies and passages that
+many texts have. The corpus's stretches make shards with a suffix array each;
+those of texts are looked up in all shards, by their first words in one number
+and from there by binary search, and counts of the longest are summed.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
@@ -29,8 +34,14 @@ from . import textarr as ta
 SHARD_WORDS = 6_000_000
 SMOOTHING = 0.5
 BLOCK_WORDS = 1_000_000
+SHORT = 8  # words of runs that are counted by hash
+FILES = 12  # of the corpus, whose stretches make a shard
 CHUNK = 1 << 17  # of a block's words that are looked up together
-KINDS = ("<u8", "<i4", "<i4", "<i8", "<i8")  # of a shard's arrays, as they are stored
+# Kinds of arrays, as they are stored: of a shard, a file of the corpus, a block (of its texts, then of their own rows in the corpus) and its questions.
+KINDS = ("<u8", "<i4", "<i4", "<i8", "<i8")
+CORPUS = ("<u8", "<i4", "<i8", "<i8")
+GATHERED = ("<u8", "<i8", "<i8") * 2
+ASKED = ("<i8", "<u8", "<u4", "<i4", "<i4", "<u4")
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -120,17 +131,13 @@ class Shard:
         self.sums = _sums(np.append(np.full(1, 77, np.uint64), ta.mix(known)), ids)
 
     @classmethod
-    def of(cls, hashes: list[np.ndarray], keys: list[int]) -> list[bytes]:
-        """The packed shard of documents."""
+    def of(cls, hashes: list[np.ndarray], keys: list[int]) -> list[np.ndarray]:
+        """The arrays of the shard of documents."""
         sizes = np.array([len(h) for h in hashes], np.int64)
         known, ids = np.unique(np.concatenate([h[::-1] for h in hashes]), return_inverse=True)
         ids = np.insert(ids.astype(np.int32) + np.int32(1), np.cumsum(sizes), 0)  # an end after each document
         order = suffix_array(ids, int(sizes.max()) + 1)
-        return [np.ascontiguousarray(x, t).view(np.uint8).data for x, t in zip((known, ids, order, keys, sizes), KINDS, strict=True)]
-
-    @classmethod
-    def unpacked(cls, parts: list[bytes]) -> Shard:
-        return cls(*(np.frombuffer(b, t) for b, t in zip(parts, KINDS, strict=True)))
+        return [np.asarray(x, t) for x, t in zip((known, ids, order, keys, sizes), KINDS, strict=True)]
 
     def own(self, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(owner and rank in one number, sorted, of all words of documents whose key is one of owners (sorted); words of each owner)."""
@@ -310,67 +317,316 @@ class Block:
         ok = length >= best
         self._told(k[ok], length[ok], count[ok])
 
-    def scored(self, smoothing: float) -> pa.RecordBatch:
-        """A row for each word of the texts."""
-        length, count, one = (np.empty(len(self.at), np.int64) for _ in range(3))
-        for to, x in ((length, self.length), (count, self.count), (one, self.one)):
-            to[self.at] = x
-        item = np.repeat(self.texts, self.sizes)
-        total = self.total[np.searchsorted(self.owners, item)]
-        # The run that ends at a word is its context and itself, or the context would be shorter.
-        after, inside = np.append(length[1:], 0), self.pos > 0
-        context = np.where(inside, after, 0)
-        times = np.where(context > 0, np.append(count[1:], 0), total)
-        followed = np.where(length == context + 1, count, 0)
-        log = np.log((followed + smoothing * (one + 1) / (total + 1)) / (times + smoothing))
-        names = ["item_id", "pos", "context", "context_count", "word_count", "log_prob"]
-        return pa.RecordBatch.from_arrays([pa.array(item), pa.array(self.pos), pa.array(context.astype(np.int32)), pa.array(times), pa.array(followed), pa.array(log)], names)
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        """(length, count) of the longest run that ends at each word, with words in the order of the texts."""
+        length, count = np.empty(len(self.at), np.int32), np.empty(len(self.at), np.int64)
+        to = (np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes) + self.pos)[self.at]
+        length[to], count[to] = self.length, self.count
+        return length, count
+
+
+def _save(folder: str, *arrays: np.ndarray) -> str:
+    """The name of a new file of folder: how many arrays, their bytes, then these. A try that is lost leaves files that nobody names."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(folder)
+    system.create_dir(base, recursive=True)
+    name = uuid.uuid4().hex
+    with system.open_output_stream(f"{base}/{name}", compression=None) as out:
+        out.write(np.array([len(arrays), *(x.nbytes for x in arrays)], "<i8").tobytes())
+        for x in arrays:
+            out.write(np.ascontiguousarray(x).view(np.uint8).data)
+    return name
+
+
+def _load(folder: str, name: str, *kinds: str) -> list[np.ndarray]:
+    """All arrays of a file."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(folder)
+    with system.open_input_file(f"{base}/{name}") as f:
+        sizes = np.frombuffer(f.read(8 * (len(kinds) + 1)), "<i8")[1:].tolist()
+        return [np.frombuffer(f.read_buffer(n), t) for n, t in zip(sizes, kinds, strict=True)]
+
+
+def _parts(folder: str, names: list[str], k: int, *kinds: str) -> Iterator[list[np.ndarray]]:
+    """Part k of the arrays of each file, whose first array has the bounds of parts; an array that was left out is empty."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(folder)
+    for name in names:
+        with system.open_input_file(f"{base}/{name}") as f:
+            n = int(np.frombuffer(f.read_at(8, 0), "<i8")[0])
+            sizes = np.frombuffer(f.read_at(8 * n, 8), "<i8").tolist()
+            at = 8 * (n + 1)
+            a, b = np.frombuffer(f.read_at(16, at + 8 * k), "<i8").tolist()
+            at, out = at + sizes[0], []
+            for size, t in zip(sizes[1:], kinds):
+                wide = np.dtype(t).itemsize
+                out.append(np.frombuffer(f.read_at((b - a) * wide, at + a * wide) if size else b"", t))
+                at += size
+            yield out
+
+
+def _cut(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Bounds of equal ranges of hashes in these, which are sorted."""
+    return np.concatenate(([0], np.searchsorted(hashes, np.array([k * 2**64 // parts for k in range(1, parts)], np.uint64)), [len(hashes)])).astype("<i8")
+
+
+def _runs(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words that end at each place, from the mixed hashes of words; without meaning at a text's first n - 1."""
+    out = np.zeros(len(words), np.uint64)
+    by = ta.mix(np.arange(1, n + 1)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        for k in range(min(n, len(words))):
+            out[k:] += words[: len(words) - k] * by[k]
+    return ta.mix(out)
+
+
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """Of each word in its text."""
+    return (np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+
+
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each is in known, which is sorted."""
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else np.zeros(len(hashes), bool)
+
+
+def _longer(found: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Where runs of n words can be, given where those of one less were found."""
+    out = found & (place >= n - 1)
+    out[1:] &= found[:-1]
+    return out
+
+
+def _stretches(ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, size, text) of the longest stretches of words in runs of SHORT words, given where these end."""
+    inside = np.zeros(len(ends) + 1, np.int8)
+    at = np.flatnonzero(ends)
+    np.add.at(inside, at - SHORT + 1, 1)
+    np.add.at(inside, at + 1, -1)
+    inside = np.cumsum(inside, dtype=np.int32)[:-1] > 0
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    new = inside.copy()
+    new[1:] &= ~inside[:-1] | (text[1:] != text[:-1])
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    return first, np.flatnonzero(last) + 1 - first, text[first]
 
 
 def _pack(folder: str):  # noqa: ANN202
-    """Shards of the rows (id, text) of a partition, each a file of folder: sizes of its arrays, then these. A try that is lost leaves files that nobody names."""
+    """Files of the rows (id, text) of a partition, with the words of each; documents without words are left out."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(folder)
-        system.create_dir(base, recursive=True)
-        held, keys, size = [], [], 0
+        held, sizes, keys = [], [], []
 
         def tell() -> pa.RecordBatch:
-            parts, name = Shard.of(held, keys), uuid.uuid4().hex
-            with system.open_output_stream(f"{base}/{name}", compression=None) as out:
-                out.write(np.array([len(x) for x in parts], "<i8").tobytes())
-                for x in parts:
-                    out.write(x)
-            return pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
+            known, ids = np.unique(np.concatenate(held), return_inverse=True)
+            name = _save(folder, known, ids.astype("<i4"), np.concatenate(sizes).astype("<i8"), np.concatenate(keys).astype("<i8"))
+            out = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids)], pa.int64())], ["file", "words"])
+            held.clear(), sizes.clear(), keys.clear()
+            ta.release()
+            return out
 
         for batch in batches:
             for run in ta.runs(batch.column(1)):
                 w = run.words()
-                held += np.split(w.hash, w.first[1:])
-                keys += batch.column(0).slice(run.first, run.n).to_pylist()
-                size += len(w.hash)
-                if size >= SHARD_WORDS:
+                some = w.counts > 0
+                held.append(w.hash), sizes.append(w.counts[some])
+                keys.append(batch.column(0).slice(run.first, run.n).to_numpy(zero_copy_only=False)[some])
+                if sum(map(len, held)) >= SHARD_WORDS:
                     yield tell()
-                    held, keys, size = [], [], 0
-                    ta.release()
-        if size:
+        if sum(map(len, held)):
             yield tell()
-        held.clear()
-        ta.release()
 
     return apply
 
 
-def _stored(folder: str, names: list[str]) -> Iterator[Shard]:
-    from pyarrow import fs
+def _gather(folder: str):  # noqa: ANN202
+    """Blocks of the rows (id, whether of the corpus, text) of a partition, which are in order of id; all rows of an id are in one block."""
 
-    system, base = fs.FileSystem.from_uri(folder)
-    for name in names:
-        with system.open_input_file(f"{base}/{name}") as f:
-            sizes = np.frombuffer(f.read(8 * len(KINDS)), "<i8").tolist()
-            yield Shard.unpacked([f.read_buffer(n) for n in sizes])
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: tuple[list, list] = [], []  # (id, words) of texts and of the corpus
+        size, last = 0, None
+
+        def tell() -> pa.RecordBatch:
+            parts: list[np.ndarray] = []
+            for side in rows:
+                parts += np.concatenate([np.zeros(0, np.uint64), *(h for _, h in side)]), np.array([len(h) for _, h in side], "<i8"), np.array([i for i, _ in side], "<i8")
+                side.clear()
+            name = _save(folder, *parts)
+            ta.release()
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
+
+        for batch in batches:
+            for run in ta.runs(batch.column(2)):
+                w = run.words()
+                of = (batch.column(k).slice(run.first, run.n).to_pylist() for k in (0, 1))
+                for i, own, h in zip(*of, np.split(w.hash, w.first[1:]), strict=True):
+                    if size >= BLOCK_WORDS and i != last:
+                        yield tell()
+                        size = 0
+                    if len(h):
+                        rows[own].append((i, h.copy()))
+                        size += len(h) * (not own)
+                    last = i
+        if rows[0]:
+            yield tell()
+
+    return apply
+
+
+def _tasks(spark: SparkSession, n: int, apply: Callable[[int], list[str]]) -> list[list[str]]:
+    """apply's names of files for each number below n, which is a task of its own."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([apply(k)], pa.list_(pa.string()))], ["k", "files"])
+                ta.release()
+
+    rows = spark.range(0, n, 1, n).mapInArrow(each, "k long, files array<string>").collect() if n else []
+    return [r.files for r in sorted(rows)]
+
+
+def _found(folder: str, n: int, name: list[str], answers: list[str], k: int, words: np.ndarray) -> np.ndarray:
+    """The ends of a file's runs of n words that texts asked for and that other documents have."""
+    out = np.zeros(len(words), bool)
+    ends = np.flatnonzero(np.unpackbits(_load(f"{folder}/asked{n}", name[1], "u1")[0], count=len(words)))
+    known = np.concatenate([np.zeros(0, np.uint64), *(x for x, in _parts(f"{folder}/answers{n}", [a[1] for a in answers], k, "<u8"))])
+    out[ends] = _among(_runs(words, n)[ends], known)
+    return out
+
+
+def _give(folder: str, n: int, file: str, last: list[str], answers: list[str], k: int, parts: int) -> list[str]:
+    """Round n of a file of the corpus: its runs that may be in texts, and where they end."""
+    known, ids, sizes, _ = _load(f"{folder}/corpus", file, *CORPUS)
+    words, place = ta.mix(known)[ids], _places(sizes)
+    may = _longer(_found(folder, n - 1, last, answers, k, words), place, n) if n > 1 else np.ones(len(words), bool)
+    runs = np.sort(_runs(words, n)[may])
+    cut = ta.bounds(runs)
+    times = np.diff(cut)
+    # A run that is there more than 255 times has several entries.
+    more = -(-times // 255)
+    runs, few = np.repeat(runs[cut[:-1]], more), np.full(int(more.sum()), 255, np.uint8)
+    few[np.cumsum(more) - 1] = times - 255 * (more - 1)
+    return [_save(f"{folder}/given{n}", _cut(runs, parts), runs, few), _save(f"{folder}/asked{n}", np.packbits(may))]
+
+
+def _state(folder: str, n: int, last: list[str], answers: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words in the longest run of up to n that ends at each word of block k and that other documents have, how often they do), from the answers of round n."""
+    ends, of, own = _load(f"{folder}/asked{n}", last[0], *ASKED)[3:]
+    length, count = (x.copy() for x in _load(f"{folder}/states{n}", last[1], "u1", "<i8"))
+    times = np.concatenate([np.zeros(0, np.int64), *(x for x, in _parts(f"{folder}/answers{n}", [a[0] for a in answers], k, "<i8"))])[of] - own
+    there = times > 0
+    length[ends[there]], count[ends[there]] = n, times[there]
+    return length, count
+
+
+def _ask(folder: str, n: int, block: str, last: list[str], answers: list[str], k: int, parts: int) -> list[str]:
+    """Round n of a block: the runs that it asks for, and what it knows so far."""
+    words, sizes, ids, own_words, own_sizes, own_ids = _load(f"{folder}/blocks", block, *GATHERED)
+    if n > 1:
+        length, count = _state(folder, n - 1, last, answers, k)
+    else:
+        length, count = np.zeros(len(words), np.uint8), np.zeros(len(words), np.int64)
+    once = last[2] if n > 2 else _save(f"{folder}/once", count)  # how often other documents have each word
+    ends = np.flatnonzero(_longer(length == n - 1, _places(sizes), n))
+    mine = _runs(ta.mix(words), n)[ends]
+    runs, of = np.unique(mine, return_inverse=True)
+    # How often the text's own rows in the corpus have it.
+    whose = np.sort((_runs(ta.mix(own_words), n) + ta.mix(np.repeat(own_ids, own_sizes)))[_places(own_sizes) >= n - 1])
+    mine += ta.mix(np.repeat(ids, sizes)[ends])
+    own = np.searchsorted(whose, mine, "right") - np.searchsorted(whose, mine)
+    least = np.full(len(runs), 2**32 - 1, np.uint32)
+    np.minimum.at(least, of, own.astype(np.uint32))
+    asked = _save(f"{folder}/asked{n}", _cut(runs, parts), runs, least, ends.astype("<i4"), of.astype("<i4"), own.astype("<u4"))
+    return [asked, _save(f"{folder}/states{n}", length, count), once]
+
+
+def _answer(folder: str, n: int, given: list[str], asked: list[str], k: int) -> list[str]:
+    """Range k of the hashes of round n: how often the corpus has what each block asks for, and which of its own each file goes on with."""
+    held, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+    for x, t in _parts(f"{folder}/given{n}", given, k, "<u8", "u1"):
+        held.append(x), times.append(t)
+    runs = np.concatenate(held)
+    order = np.argsort(runs)
+    before = np.append(0, np.cumsum(np.concatenate(times)[order], dtype=np.int64))
+    runs = runs[order]
+    del order
+    wanted, sizes, counts = [np.zeros(0, np.uint64)], [0], [np.zeros(0, np.int64)]
+    for x, least in _parts(f"{folder}/asked{n}", asked, k, "<u8", "<u4"):
+        count = before[np.searchsorted(runs, x, "right")] - before[np.searchsorted(runs, x)]
+        counts.append(count), sizes.append(len(x)), wanted.append(x[count > least])
+    to_blocks = _save(f"{folder}/answers{n}", np.cumsum(sizes).astype("<i8"), np.concatenate(counts))
+    del runs, before, counts
+    there, sizes = np.unique(np.concatenate(wanted)), [0]
+    for i, x in enumerate(held):
+        held[i] = x[_among(x, there)]
+    return [to_blocks, _save(f"{folder}/answers{n}", np.append(0, np.cumsum([len(x) for x in held[1:]])).astype("<i8"), np.concatenate(held))]
+
+
+def _shards(folder: str, files: list[str], last: list[list[str]], answers: list[list[str]], at: range) -> list[str]:
+    """Shards of the stretches of files at, in which texts have runs of SHORT words or more."""
+    held, keys, size, out = [], [], 0, []
+    for k in at:
+        known, ids, sizes, of = _load(f"{folder}/corpus", files[k], *CORPUS)
+        found = _found(folder, SHORT, last[k], answers, k, ta.mix(known)[ids])
+        for a, n, d in zip(*(x.tolist() for x in _stretches(found, sizes)), strict=True):
+            held.append(known[ids[a : a + n]]), keys.append(int(of[d]))
+            size += n
+            if size >= SHARD_WORDS:
+                out.append(_save(f"{folder}/shards", *Shard.of(held, keys)))
+                held, keys, size = [], [], 0
+                ta.release()
+    if size:
+        out.append(_save(f"{folder}/shards", *Shard.of(held, keys)))
+    return out
+
+
+def _long(folder: str, shards: list[str], texts: list[tuple], leave_out: bool) -> None:
+    """Fill in the runs of more than SHORT words of texts, which are (words, sizes, ids, length, count)."""
+    ids, held, to, size = [], [], [], 0
+
+    def tell() -> None:
+        block, at = Block(ids, held, leave_out), 0
+        for shard in shards:
+            block.visit(Shard(*_load(f"{folder}/shards", shard, *KINDS)))
+            block.s = None
+        found = block.found()
+        for (length, count, a), words in zip(to, held, strict=True):
+            n, times = (x[at : at + len(words)] for x in found)
+            far = n > SHORT
+            length[a : a + len(words)][far], count[a : a + len(words)][far] = n[far], times[far]
+            at += len(words)
+
+    for words, sizes, of, length, count in texts:
+        for a, n, d in zip(*(x.tolist() for x in _stretches(length == SHORT, sizes)), strict=True):
+            ids.append(int(of[d])), held.append(words[a : a + n]), to.append((length, count, a))
+            size += n
+            if size >= 1.25 * BLOCK_WORDS:
+                tell()
+                ids, held, to, size = [], [], [], 0
+    if held:
+        tell()
+
+
+def _scored(words: int, gathered: list[np.ndarray], length: np.ndarray, count: np.ndarray, one: np.ndarray, smoothing: float) -> pa.RecordBatch:
+    """A row for each word of a block's texts; words are the corpus's."""
+    _, sizes, ids, _, own_sizes, own_ids = gathered
+    owners, of = np.unique(np.concatenate((ids, own_ids)), return_inverse=True)
+    own = np.bincount(of[len(ids) :], own_sizes, len(owners)).astype(np.int64)
+    total = np.repeat(words - own[of[: len(ids)]], sizes)
+    place = _places(sizes)
+    # The run that ends at a word is its context and itself, or the context would be shorter.
+    context = np.where(place > 0, np.append(0, length)[:-1], 0).astype(np.int32)
+    times = np.where(context > 0, np.append(0, count)[:-1], total)
+    followed = np.where(length == context + 1, count, 0)
+    log = np.log((followed + smoothing * (one + 1) / (total + 1)) / (times + smoothing))
+    names = ["item_id", "pos", "context", "context_count", "word_count", "log_prob"]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(ids, sizes), place, context, times, followed, log)], names)
 
 
 def score(texts: DataFrame, corpus: DataFrame, id_col: str = "item_id", text_col: str = "text", corpus_text: str = "text", smoothing: float = SMOOTHING, corpus_id: str | None = None) -> DataFrame:
@@ -390,44 +646,64 @@ def score(texts: DataFrame, corpus: DataFrame, id_col: str = "item_id", text_col
     Null ids and texts and texts without words have no rows; texts that repeat
     an id have rows each. Null and empty corpus texts count for nothing; with an
     empty corpus every context is empty. Very long texts are looked up whole;
-    other columns are not read. Words are told apart by 64 bits of a hash. Each
-    shard's array is built once and kept in the shared folder; a task holds one
-    shard and a block of BLOCK_WORDS words of texts, or one longer text, at a
-    time; the driver learns the size of the texts and the names of the shards.
+    other columns are not read. Words, and runs of up to SHORT words, are told
+    apart by 64 bits of a hash. Tables between steps are files of the shared
+    folder; a task holds one file of the corpus of SHARD_WORDS words or one
+    longer document, one range of hashes, or one shard and some blocks of
+    BLOCK_WORDS words of texts, or one longer text, at a time; the driver learns
+    the size of the texts and the names of files.
     """
-    rows = texts.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    key = F.coalesce(F.col(corpus_id).cast("long") if corpus_id else F.lit(None).cast("long"), F.lit(-1 << 63))
-    folder, leave_out = store.new_path(texts.sparkSession, "shards"), corpus_id is not None
-    packed = corpus.where(F.length(corpus_text) > 0).select(key.alias("k"), F.col(corpus_text).cast("string").alias("t")).mapInArrow(_pack(folder), "file string")
-    names = sorted(r.file for r in packed.collect())  # some bytes for each SHARD_WORDS words
+    rows = texts.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("i"), F.lit(False).alias("own"), F.col(text_col).cast("string").alias("t"))
+    corpus = corpus.where(F.length(corpus_text) > 0).select((F.col(corpus_id) if corpus_id else F.lit(None)).cast("long").alias("i"), F.lit(True).alias("own"), F.col(corpus_text).cast("string").alias("t"))
+    spark, leave_out = texts.sparkSession, corpus_id is not None
+    folder, cores = store.new_path(spark, "suffixes"), spark.sparkContext.defaultParallelism
+    packed = corpus.select(F.coalesce("i", F.lit(0)), "t").mapInArrow(_pack(f"{folder}/corpus"), "file string, words long").collect()  # some bytes for each SHARD_WORDS words
+    files, words = [r.file for r in packed], sum(r.words for r in packed)
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    rows = rows.repartition(int(chars // (6 * BLOCK_WORDS)) + 1)  # a word and its space are some 6 characters
+    if leave_out:
+        rows = rows.unionAll(corpus.join(store.small(rows.select("i").distinct()), "i", "left_semi"))
+    rows = rows.repartition(int(chars // (6 * BLOCK_WORDS)) + 1, "i").sortWithinPartitions("i")  # a word and its space are some 6 characters
+    blocks = [r.file for r in rows.mapInArrow(_gather(f"{folder}/blocks"), "file string").collect()]
+    parts = min(2 * len(files), words // max(1, SHARD_WORDS // 2)) + 1  # ranges of hashes, of half a file each
+    given, asked, answers = [[]] * len(files), [[]] * len(blocks), []
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, size = [], [], 0
+    for n in range(1, SHORT + 1):
 
-        def tell() -> Iterator[pa.RecordBatch]:
-            block = Block(ids, held, leave_out)
-            for shard in _stored(folder, names):
-                block.visit(shard)
-                block.s = shard = None
-            out = block.scored(smoothing)
-            for a in range(0, out.num_rows, 50_000):
-                yield out.slice(a, 50_000)
+        def step(k: int, n=n, given=given, asked=asked, answers=answers) -> list[str]:  # noqa: ANN001
+            if k < len(files):
+                return _give(folder, n, files[k], given[k], answers, k, parts)
+            k -= len(files)
+            return _ask(folder, n, blocks[k], asked[k], answers, k, parts)
 
+        names = _tasks(spark, len(files) + len(blocks), step)
+        for what in ("asked", "answers", "states"):
+            store._delete(spark, f"{folder}/{what}{n - 1}")
+        given, asked = names[: len(files)], names[len(files) :]
+
+        def answer(k: int, n=n, given=[x[0] for x in given], asked=[x[0] for x in asked]) -> list[str]:  # noqa: ANN001, B006
+            return _answer(folder, n, given, asked, k)
+
+        answers = _tasks(spark, parts, answer)
+        store._delete(spark, f"{folder}/given{n}")
+
+    each = min(FILES, -(-len(files) // cores)) or 1
+    shards = sum(_tasks(spark, -(-len(files) // each), lambda k: _shards(folder, files, given, answers, range(each * k, min(each * (k + 1), len(files))))), [])
+    store._delete(spark, f"{folder}/corpus")
+    some = max(1, min(4, len(blocks) // cores))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in ta.runs(batch.column(1)):
-                w = run.words()
-                of = batch.column(0).slice(run.first, run.n).to_pylist()
-                for i, h in zip(of, np.split(w.hash, w.first[1:]), strict=True):
-                    if len(h):
-                        ids.append(i), held.append(h)
-                        size += len(h)
-                    if size >= 1.25 * BLOCK_WORDS:
-                        yield from tell()
-                        ids, held, size = [], [], 0
-        if held:
-            yield from tell()
-        ta.release()
-
-    return rows.mapInArrow(apply, "item_id long, pos int, context int, context_count long, word_count long, log_prob double")
+            for first in batch.column(0).to_pylist():
+                held = []
+                for k in range(first, min(first + some, len(blocks))):
+                    length, count = _state(folder, SHORT, asked[k], answers, k)
+                    held.append((_load(f"{folder}/blocks", blocks[k], *GATHERED), length.astype(np.int32), count, _load(f"{folder}/once", asked[k][2], "<i8")[0]))
+                _long(folder, shards, [(*of[:3], length, count) for of, length, count, _ in held], leave_out)
+                while held:
+                    out = _scored(words, *held.pop(), smoothing)
+                    for a in range(0, out.num_rows, 50_000):
+                        yield out.slice(a, 50_000)
+                ta.release()
+
+    starts = spark.range(0, len(blocks), some, max(1, -(-len(blocks) // some)))
+    return starts.mapInArrow(apply, "item_id long, pos int, context int, context_count long, word_count long, log_prob double")

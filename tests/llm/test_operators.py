@@ -210,6 +210,28 @@ def test_suffix_scores_of_the_corpus_itself(spark, odd, monkeypatch):
     assert {r.item_id for r in suffix_lm.score(odd, odd, id_col="doc_id", corpus_id="doc_id").where("pos < 3").collect()} == {3, 4, 5, 6, 8}
 
 
+def test_suffix_scores_look_only_stretches_up_in_shards(spark, monkeypatch):
+    """Runs that are short, as nearly all are, don't go through every shard; their work would grow with the square of the corpus."""
+    rng = random.Random(33)
+    copied = [f"c{k}" for k in range(30)]
+    rows = [(k, " ".join(f"w{rng.randrange(40)}" for _ in range(150))) for k in range(60)]
+    rows += [(k, " ".join([f"x{k}", *copied, f"y{k}"])) for k in (80, 81)]
+    docs = table(spark, rows)
+    seen = spark.sparkContext.accumulator(0)
+    visit = suffix_lm.Block.visit
+
+    def counted(block, shard):
+        seen.add(len(block.at) + len(shard.ids))
+        visit(block, shard)
+
+    monkeypatch.setattr(suffix_lm.Block, "visit", counted)
+    got = {(r.item_id, r.pos): r for r in suffix_lm.score(docs.where("doc_id % 20 = 0"), docs, id_col="doc_id", corpus_id="doc_id").collect()}
+    assert len(got) == 3 * 150 + 32
+    # The stretch in the text, and in the file of the corpus that is the text's own and the other one, with their ends.
+    assert 0 < seen.value <= 2 * (3 * 30 + 2)
+    assert [(got[80, p].context, got[80, p].context_count, got[80, p].word_count) for p in range(2, 31)] == [(p - 1, 1, 1) for p in range(2, 31)]
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     ids = np.append(rng.integers(0, 4, 300), 0)
