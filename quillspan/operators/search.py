@@ -106,6 +106,11 @@ class Corpus:
         return F.transform(self.raw(name), a.term) if a.lowercase or a.fold or a.replacements or a.stops else self.raw(name)
 
 
+def once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """rows with columns that are told once a row. Of a plain projection, a filter above takes the expression for the name, and tells it anew for each element if that stands within a function of one."""
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def synonyms_of(corpus: Corpus, name: str, term: Column) -> Column:
     """The terms at a position: its own and its synonyms."""
     known = corpus.type_of(name).analyzer.synonyms
@@ -307,8 +312,8 @@ def _tagged(corpus: Corpus, parts: list[ir.Query], where: DataFrame | None, all_
     terms = F.col("__terms")
     inner = [row_spans(corpus, p, terms) for p in parts]
     if all(x is not None for x in inner):
-        rows = _source(corpus, ir.NearBy(tuple(parts), 0, True) if all_needed else parts[0], where).select(corpus.key, corpus.version(name), corpus.terms(name).alias("__terms"))
-        rows = rows.select(corpus.key, VERSION, *[x.alias(f"__{k}") for k, x in enumerate(inner)])
+        rows = _source(corpus, ir.NearBy(tuple(parts), 0, True) if all_needed else parts[0], where).select(corpus.key, name, corpus.version(name))
+        rows = once(once(rows, corpus.terms(name).alias("__terms")), *[x.alias(f"__{k}") for k, x in enumerate(inner)])
         for k in range(len(parts) if all_needed else 1):
             rows = rows.where(F.size(f"__{k}") > 0)
         tag = lambda k: lambda x: F.struct(F.lit(k).alias("k"), x.s.alias("s"), x.e.alias("e"))
@@ -323,7 +328,7 @@ def _spans(corpus: Corpus, query: ir.Query, where: DataFrame | None) -> DataFram
         return corpus.rows().where(F.lit(False)).select(corpus.key, F.lit(0).cast("long").alias(VERSION), F.lit(0).alias("s"), F.lit(0).alias("e"))
     inner = row_spans(corpus, query, F.col("__terms"))
     if inner is not None:
-        rows = _source(corpus, query, where).select(corpus.key, corpus.version(name), corpus.terms(name).alias("__terms"))
+        rows = once(_source(corpus, query, where).select(corpus.key, name, corpus.version(name)), corpus.terms(name).alias("__terms"))
         return rows.select(corpus.key, VERSION, F.inline(inner))
     match query:
         case ir.AnyOf(children):
@@ -470,8 +475,8 @@ def matching(corpus: Corpus, query: ir.Query) -> DataFrame:
             mine = reduce(DataFrame.unionByName, [h for k, h in enumerate(hits) if of[k] == name])
             mine = mine.groupBy("__key", "__of").agg(F.collect_set("__hit").alias(f"__hits_{name}"))
             rows = rows.join(mine, (F.col(corpus.key) == F.col("__key")) & (F.xxhash64(name) == F.col("__of")), "left").drop("__key", "__of")
-    for name in names:
-        rows = rows.withColumn(f"__terms_{name}", corpus.terms(name))
+    if tokenised := [n for n in names if n]:
+        rows = once(rows, *[corpus.terms(n).alias(f"__terms_{n}") for n in tokenised])
     return rows.where(condition).select(*corpus.docs.columns)
 
 
