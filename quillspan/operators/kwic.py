@@ -28,45 +28,51 @@ def to_spans(corpus: Corpus, query: ir.Query, name: str, where: DataFrame | None
     return pure, hits if where is None else hits.join(where.select(corpus.key), corpus.key, "left_semi")
 
 
-def _located(corpus: Corpus, query: ir.Query, name: str, overlaps: bool, limit: int | None, where: DataFrame | None, columns: Sequence[str]) -> DataFrame:
-    """Rows (key, columns, __raw, __gaps, __sizes, __terms, __spans) of documents with spans, which are of that row alone."""
+def _located(corpus: Corpus, query: ir.Query, name: str, overlaps: bool, limit: int | None, where: DataFrame | None, columns: Sequence[str], texts: bool = False) -> DataFrame:
+    """Rows (key, columns, __raw, __terms, __spans) of documents with spans, which are of that row alone; with texts, __gaps and __sizes too."""
     query, where = to_spans(corpus, query, name, where)
     query = ir.plain(query)
-    kept = list(dict.fromkeys([corpus.key, *columns]))
-    texts, sizes = corpus.between(name)
-    parts = [corpus.raw(name).alias("__raw"), texts.alias("__gaps"), sizes.alias("__sizes")]
+    kept = list(dict.fromkeys([corpus.key, *columns, name]))
     term = corpus.type_of(name).analyzer.term
+    gaps, sizes = corpus.between(name, "__gaps")
+
+    def taken_apart(rows: DataFrame) -> DataFrame:
+        rows = search.once(rows, corpus.raw(name).alias("__raw"), *[gaps.alias("__gaps")] * texts)
+        return search.once(rows, F.transform("__raw", term).alias("__terms"), *[sizes.alias("__sizes")] * texts)
+
     alone = overlaps or search.single_tokens(corpus, query)
     inner = search.row_spans(corpus, query, F.col("__terms")) if alone and limit is None else None
     if inner is not None:
-        rows = search._source(corpus, query, where).select(*kept, *parts)
-        rows = rows.withColumn("__terms", F.transform("__raw", term))
-        return rows.withColumn("__spans", inner).where(F.size("__spans") > 0)
+        rows = taken_apart(search._source(corpus, query, where).select(*kept))
+        return search.once(rows, inner.alias("__spans")).where(F.size("__spans") > 0)
     found = search.located(corpus, query, where)
     if not alone:
         found = search.without_overlaps(found, corpus.key)
     if limit is not None:
         found = found.orderBy(corpus.key, "s", "e", search.VERSION).limit(limit)
     found = found.groupBy(F.col(corpus.key).alias("__key"), F.col(search.VERSION).alias("__of")).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("__spans"))
-    rows = corpus.rows().join(found, (F.col(corpus.key) == F.col("__key")) & (F.xxhash64(name) == F.col("__of"))).select(*kept, *parts, "__spans")
-    return rows.withColumn("__terms", F.transform("__raw", term))
+    rows = corpus.rows().join(found, (F.col(corpus.key) == F.col("__key")) & (F.xxhash64(name) == F.col("__of"))).select(*kept, "__spans")
+    return taken_apart(rows)
 
 
-_PART = 128
+_PART = 16
 
 
 def _running(steps: str) -> Column:
-    """Sums of an array column's numbers up to each: of whole parts first, so that a long array takes little more than linear time."""
+    """Sums of an array column's numbers up to each: of whole parts first, and of parts of these, so that a long array takes little more than linear time."""
     zero, add = F.lit(0).cast("long"), lambda a, n: a + n
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _PART).cast("int")), lambda p: F.slice(steps, p * _PART + 1, _PART))
+    further = lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n))
 
-    def joined(done: Column, part: Column) -> Column:
-        before = F.coalesce(F.get(done, F.size(done) - 1).upto, zero)
-        return F.concat(done, F.array(F.struct(before.alias("before"), (before + F.aggregate(part, zero, add)).alias("upto"), part.alias("steps"))))
+    def sums(of: Column, levels: int) -> Column:
+        def joined(parts: Column) -> Column:
+            totals = F.transform(parts, lambda p: F.aggregate(p, zero, add))
+            before = F.concat(F.array(zero), search.bound(totals, lambda t: sums(t, levels - 1))) if levels else F.aggregate(totals, F.array(zero), further)
+            return search.bound(before, lambda b: F.flatten(F.transform(parts, lambda p, k: F.slice(F.aggregate(p, F.array(F.get(b, k)), further), 2, _PART))))
 
-    whole = F.aggregate(parts, F.array().cast("array<struct<before:bigint,upto:bigint,steps:array<bigint>>>"), joined)
-    # Nothing that takes time may be named within a function of an element, where it would be told anew for each.
-    return F.flatten(F.transform(whole, lambda p: F.transform(p.steps, lambda n, k: p.before + F.aggregate(F.slice(p.steps, 1, k + 1), zero, add))))
+        cuts = F.sequence(F.lit(0), F.floor((F.size(of) - 1) / _PART).cast("int"))
+        return search.bound(F.transform(cuts, lambda p: F.slice(of, p * _PART + 1, _PART)), joined)
+
+    return sums(F.col(steps), 1)
 
 
 def _range(low: Column, high: Column) -> Column:
@@ -98,39 +104,58 @@ def windows(
     """
     if before < 0 or after < 0 or not (callable(order) or order in ORDERS):
         raise ValueError("a window has sizes of 0 at least and an order of " + ", ".join(ORDERS))
-    rows = _located(corpus, query, name, overlaps, limit, where, metadata)
+    rows = _located(corpus, query, name, overlaps, limit, where, metadata, True)
     raw, gaps, sizes, terms, found = (F.col(f"__{c}") for c in ("raw", "gaps", "sizes", "terms", "spans"))
+    alone = search.single_tokens(corpus, ir.as_spans(query, name))
+
+    def pre(s: Column) -> Column:
+        seen = F.filter(_range(F.greatest(s - before, F.lit(0)), s - 1), lambda i: F.get(terms, i).isNotNull())
+        left = search.bound(F.get(seen, 0), lambda first: F.array_join(F.transform(_range(first, s - 1), lambda i: F.concat(F.coalesce(F.get(raw, i), F.lit("")), F.get(gaps, i + 1))), ""))
+        return search.bound(left, lambda t: F.when(F.length(t) > 0, t.substr(F.lit(1), F.length(t) - 1)).otherwise(F.lit("")))
+
+    def post(e: Column) -> Column:
+        seen = F.filter(_range(e, F.least(e + after, F.size(terms)) - 1), lambda i: F.get(terms, i).isNotNull())
+        last = F.element_at(F.concat(F.array(F.lit(None).cast("int")), seen), -1)
+        right = search.bound(last, lambda z: F.array_join(F.transform(_range(e, z), lambda i: F.concat(F.get(gaps, i), F.coalesce(F.get(raw, i), F.lit("")))), ""))
+        return F.coalesce(right, F.lit(""))
 
     def cut(x: Column, k: Column) -> Column:
         s, e = x.s, x.e
-        seen = lambda i: F.get(terms, i).isNotNull()
-        first = F.get(F.filter(_range(F.greatest(s - before, F.lit(0)), s - 1), seen), 0)
-        last = F.element_at(F.concat(F.array(F.lit(None).cast("int")), F.filter(_range(e, F.least(e + after, F.size(terms)) - 1), seen)), -1)
-        left = F.array_join(F.transform(_range(first, s - 1), lambda i: F.concat(F.coalesce(F.get(raw, i), F.lit("")), F.get(gaps, i + 1))), "")
-        right = F.array_join(F.transform(_range(e, last), lambda i: F.concat(F.get(gaps, i), F.coalesce(F.get(raw, i), F.lit("")))), "")
-        begins = F.get(F.col("__begins"), k)
-        inside = F.aggregate(_range(s, e - 1), F.lit(0).cast("long"), lambda n, i: n + F.length(F.coalesce(F.get(raw, i), F.lit(""))) + F.when(i > s, F.get(sizes, i)).otherwise(0))
+        out = {"s": s, "char_start": F.get(F.col("__begins"), k)}
+        if alone:
+            out |= {"target": F.coalesce(F.get(raw, s), F.lit(""))}
+        else:
+            inside = F.aggregate(_range(s, e - 1), F.lit(0).cast("long"), lambda n, i: n + F.length(F.coalesce(F.get(raw, i), F.lit(""))) + F.when(i > s, F.get(sizes, i)).otherwise(0))
+            out |= {"e": e, "target": _text(raw, gaps, s, e - 1), "char_end": out["char_start"] + inside}
+        out |= ({"pre": pre(s)} if before else {}) | ({"post": post(e)} if after else {})
         words = lambda low, high: F.filter(F.transform(_range(low, high), lambda i: F.get(terms, i)), lambda t: t.isNotNull())
         backwards = F.reverse(words(F.greatest(s - before, F.lit(0)), s - 1))
         forwards = words(e, F.least(e + after, F.size(terms)) - 1)
         if callable(order):
-            key = order(backwards, words(s, e - 1), forwards)
-        else:
-            parts = {"PRE": [backwards], "POST": [forwards], "TARGET_PRE": [words(s, e - 1), backwards], "TARGET_POST": [words(s, e - 1), forwards]}.get(order)
-            key = F.trim(F.array_join(F.concat(*parts), " ")) if parts else F.lit("")
-        return F.struct(
-            s.alias("s"), e.alias("e"), F.when(F.length(left) > 0, left.substr(F.lit(1), F.length(left) - 1)).otherwise(F.lit("")).alias("pre"), _text(raw, gaps, s, e - 1).alias("target"),
-            F.coalesce(right, F.lit("")).alias("post"), key.alias("sort_key"), begins.alias("char_start"), (begins + inside).alias("char_end"),
-        )
+            out["sort_key"] = order(backwards, words(s, e - 1), forwards)
+        elif order not in ("DOC", "NONE"):
+            parts = {"PRE": [backwards], "POST": [forwards], "TARGET_PRE": [words(s, e - 1), backwards], "TARGET_POST": [words(s, e - 1), forwards]}[order]
+            out["sort_key"] = F.trim(F.array_join(F.concat(*parts), " "))
+        return F.struct(*[v.alias(c) for c, v in out.items()])
 
     def step(x: Column, k: Column) -> Column:
         """Characters from the span before, or the text's begin, to this one."""
-        was = F.when(k > 0, F.get(found, k - 1).s).otherwise(F.lit(-1))
-        return F.aggregate(_range(was + 1, x.s), F.lit(0).cast("long"), lambda n, i: n + F.get(sizes, i) + F.coalesce(F.length(F.get(raw, i - 1)), F.lit(0)))
+        widths, was = F.col("__widths"), F.when(k > 0, F.get(found, k - 1).s).otherwise(F.lit(-1))
+        far = lambda w: F.aggregate(F.slice(widths, w + 2, x.s - w), F.lit(0).cast("long"), lambda n, c: n + c)
+        return search.bound(was, lambda w: F.when(w + 1 == x.s, F.get(widths, x.s)).otherwise(far(w)))
 
     kept = [F.col(m) for m in dict.fromkeys([corpus.key, *metadata])]
-    rows = rows.withColumn("__steps", F.transform(found, step)).withColumn("__begins", _running("__steps"))
+    # Nothing that takes time may be named within a function of an element, where it would be told anew for each.
+    rows = search.once(rows, F.transform(sizes, lambda n, i: n + F.coalesce(F.length(F.get(raw, i - 1)), F.lit(0)).cast("long")).alias("__widths"))
+    steps = F.transform(found, step)
+    if alone:
+        steps = F.when(F.size(found) == F.size(raw), F.col("__widths")).otherwise(steps)
+    rows = search.once(search.once(rows, steps.alias("__steps")), _running("__steps").alias("__begins"))
     rows = rows.select(*kept, F.inline(F.transform(found, cut)))
+    # What follows from the rest, or is the same for all, takes no place in the arrays.
+    if alone:
+        rows = rows.withColumns({"e": F.col("s") + 1, "char_end": F.col("char_start") + F.length("target")})
+    rows = rows.withColumns({c: F.lit("") for c in ("pre", "post", "sort_key") if c not in rows.columns})
     if order == "DOC":
         rows = rows.withColumn("sort_key", F.col(corpus.key).cast("string"))
     about = F.create_map(*[x for m in metadata for x in (F.lit(m), F.col(m).cast("string"))]) if metadata else F.create_map().cast("map<string,string>")

@@ -73,15 +73,14 @@ class Corpus:
         gap = F.array_repeat(F.lit(None).cast("string"), a.position_gap)
         return F.flatten(F.transform(self.values(name), lambda v, i: F.when(i > 0, F.concat(gap, a.raw_tokens(v))).otherwise(a.raw_tokens(v))))
 
-    def between(self, name: str) -> tuple[Column, Column]:
-        """(text, length in characters) before each token and after the last."""
+    def between(self, name: str, texts: str) -> tuple[Column, Column]:
+        """(text, length in characters) before each token and after the last; the lengths may be told from a column of the texts."""
         a = self.type_of(name).analyzer
         if not self.many(name):
-            parts = a.between(a.filtered(F.col(name)))
-            return parts, F.transform(parts, lambda g: F.length(g))
+            return a.between(a.filtered(F.col(name))), F.transform(texts, lambda g: F.length(g))
         values = self.values(name)
 
-        def texts(v: Column, i: Column) -> Column:
+        def shown(v: Column, i: Column) -> Column:
             parts, before = a.between(v), F.element_at(a.between(F.get(values, i - 1)), -1)
             inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
             if not a.position_gap:
@@ -98,7 +97,7 @@ class Corpus:
             return F.when(i > 0, later).otherwise(F.concat(F.array(F.get(parts, 0)), inner))
 
         last = F.element_at(a.between(F.element_at(values, -1)), -1)
-        return F.concat(F.flatten(F.transform(values, texts)), F.array(last)), F.concat(F.flatten(F.transform(values, sizes)), F.array(F.length(last)))
+        return F.concat(F.flatten(F.transform(values, shown)), F.array(last)), F.concat(F.flatten(F.transform(values, sizes)), F.array(F.length(last)))
 
     def terms(self, name: str) -> Column:
         """Terms by position; null for holes."""
@@ -111,6 +110,11 @@ def once(rows: DataFrame, *columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*columns))))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is told once however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def synonyms_of(corpus: Corpus, name: str, term: Column) -> Column:
     """The terms at a position: its own and its synonyms."""
     known = corpus.type_of(name).analyzer.synonyms
@@ -178,6 +182,8 @@ def predicate(leaf: ir.Leaf, t: Column) -> Column:
             return t.startswith(prefix)
         case ir.Glob(_, pattern):
             return t.rlike(rf"(?s)\A(?:{glob(pattern)})\z")
+        case ir.Matches(_, ".+"):
+            return F.length(t) > 0
         case ir.Matches(_, pattern):
             if m := re.search(r"(?<!\\)[~&<>@#\"]", pattern):
                 raise QueryError(f"{m[0]} in a regular expression needs an escape")

@@ -230,3 +230,17 @@ def test_stream(spark, tmp_path):
     query = counts.windowed_counts(docs, "ts", "1 minute", "0 seconds").writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r.term, r.tf) for r in spark.table("counted").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_windows_take_texts_apart_once(spark):
+    texts = ["", None, "of", " of a, b", "x" * 70 + " of " + "y, " * 300 + "of", "a b " * 200]
+    c = search.Corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for q in ('"of the"', "of", "/.+/"):
+        rows = kwic.windows(c, c.parse_spans(q), before=0, after=0, order="NONE", overlaps=True)
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == plan.count("split(") == 1
+        if q != '"of the"':
+            want = [(k, n, m.start(), m.end(), m[0], "", "") for k, t in enumerate(texts) for n, m in enumerate(re.finditer(r"\w+", t or "")) if q != "of" or m[0] == "of"]
+            assert sorted(tuple(r) for r in rows.select("doc_id", "s", "char_start", "char_end", "target", "pre", "post").collect()) == want
+    counted = kwic.term_windows(c, c.parse_spans("of"))._jdf.queryExecution().optimizedPlan().toString()
+    assert counted.count("regexp_extract_all(") == 1 and "split(" not in counted
