@@ -74,8 +74,7 @@ class Analyzer:
             token = F.regexp_replace(token, pattern, into)
         if not (self.replacements or self.stops):
             return token
-        kept = F.length(token) > 0
-        return F.when(kept & ~token.isin(*self.stops) if self.stops else kept, token)
+        return F.when(~token.isin("", *self.stops), token)
 
     # For queries
 

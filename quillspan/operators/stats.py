@@ -17,12 +17,18 @@ from .search import Corpus
 UNSEEN_DF = 2
 
 
+def _counted(rows: DataFrame, strings: str, name: str) -> DataFrame:
+    """Rows (name, df, tf) of an array column: how many rows have a string, and how often. Behind an array's strings stand its distinct ones, told by their place."""
+    rows = search.once(rows.select(strings), F.array_distinct(strings).alias("__distinct"))
+    one = rows.select(F.size(strings).alias("__n"), F.posexplode(F.concat(strings, "__distinct")).alias("__i", name))
+    again = F.col("__i") >= F.col("__n")
+    return one.where(F.col(name).isNotNull()).groupBy(name).agg(F.sum(again.cast("long")).alias("df"), F.sum((~again).cast("long")).alias("tf"))
+
+
 def vocabulary(corpus: Corpus, name: str = "text") -> DataFrame:
     """Rows (term, df, tf): one shuffle of terms summed before it; documents (rows) are counted within themselves."""
-    terms = corpus.rows().select(F.filter(search.stacked(corpus, name, corpus.terms(name)), lambda t: t.isNotNull() & (t != "")).alias("t"))
-    marked = lambda a, d: F.transform(a, lambda t: F.struct(t.alias("term"), F.lit(d).cast("long").alias("d")))
-    rows = terms.select(F.inline(F.concat(marked("t", 0), marked(F.array_distinct("t"), 1))))
-    return rows.groupBy("term").agg(F.sum("d").alias("df"), F.sum(1 - F.col("d")).alias("tf"))
+    terms = search.once(corpus.rows().select(name), search.stacked(corpus, name, corpus.terms(name)).alias("__t"))
+    return _counted(terms, "__t", "term").where("term <> ''")
 
 
 def idf(df: Column, docs: Column | int) -> Column:
@@ -115,9 +121,8 @@ def wgrams(terms: Column, low: int, high: int, accept=lambda t: t.isNotNull() &
     low, high = _bounds(low, high)
     ok = lambda t: F.coalesce(accept(t), F.lit(False)) & t.isNotNull() & (t != "")
     good = F.filter(F.transform(terms, lambda t, i: F.when(ok(t), i)), lambda i: i.isNotNull())
-    runs = F.flatten(
-        F.transform(good, lambda a, k: F.transform(F.filter(F.sequence(F.lit(low), F.lit(high)), lambda n: (k + n) <= F.size(good)), lambda n: F.slice(terms, a + 1, F.get(good, k + n - 1) - a + 1)))
-    )
+    ends = F.sequence(F.lit(low), F.lit(high))
+    runs = search.bound(good, lambda good: F.flatten(F.transform(good, lambda a, k: F.transform(F.filter(ends, lambda n: (k + n) <= F.size(good)), lambda n: F.slice(terms, a + 1, F.get(good, k + n - 1) - a + 1)))))
     return F.transform(runs if across else F.filter(runs, lambda r: ~F.coalesce(F.array_contains(r, ""), F.lit(False))), _shown)
 
 
@@ -200,10 +205,8 @@ def merged_cooccurrences(shards: Sequence[DataFrame], docs: Sequence[int], n: in
 
 def target_counts(corpus: Corpus, query: ir.Query, name: str = "text", n: int | None = 20, where: DataFrame | None = None) -> DataFrame:
     """Rows (target, df, tf) of what the query's spans read, by df, tf and target."""
-    rows = kwic.targets(corpus, query, name, where).select(F.transform("targets", _shown).alias("t"))
-    marked = lambda a, d: F.transform(a, lambda t: F.struct(t.alias("target"), F.lit(d).cast("long").alias("d")))
-    rows = rows.select(F.inline(F.concat(marked("t", 0), marked(F.array_distinct("t"), 1))))
-    out = rows.groupBy("target").agg(F.sum("d").alias("df"), F.sum(1 - F.col("d")).alias("tf"))
+    rows = search.once(kwic.targets(corpus, query, name, where), F.transform("targets", _shown).alias("__t"))
+    out = _counted(rows, "__t", "target")
     return out if n is None else out.orderBy(F.col("df").desc(), F.col("tf").desc(), "target").limit(n)
 
 

@@ -244,3 +244,15 @@ def test_windows_take_texts_apart_once(spark):
             assert sorted(tuple(r) for r in rows.select("doc_id", "s", "char_start", "char_end", "target", "pre", "post").collect()) == want
     counted = kwic.term_windows(c, c.parse_spans("of"))._jdf.queryExecution().optimizedPlan().toString()
     assert counted.count("regexp_extract_all(") == 1 and "split(" not in counted
+
+
+def test_cooccurrences_take_texts_apart_twice(spark):
+    """Once for the windows, once for the vocabulary; neither makes a row's tokens structures."""
+    texts = ["an oak and an oak", "", None, "Oak OAK of it", "of fir, oak"]
+    c = search.Corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = stats.cooccurrences(c, c.parse("oak"), kind="wgram", low=2, high=2, min_tf=1)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2
+    assert {(r.term, r.tf) for r in rows.collect()} == {("oak and", 1), ("and an", 2), ("an oak", 2), ("of it", 2), ("oak of", 1), ("of fir", 1)} - {("an oak", 2)} | {("an oak", 2)}
+    voc = stats.vocabulary(c)
+    assert "struct(term" not in voc._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.term: (r.df, r.tf) for r in voc.collect()} == {"an": (1, 2), "oak": (3, 5), "and": (1, 1), "of": (2, 2), "it": (1, 1), "fir": (1, 1)}
